@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import token_counts
+from lithoframe.llm import packing, token_counts
 
 
 def queries():
     return {
+        "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
     }
 
