@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoframe.plans.scratch import materialize
+
+__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "table", "text_or_empty", "vote_columns", "voted_bits", "words"]
+
 #: ASCII capitals and their lower-case forms, for translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Java pattern of the white space that separates words.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables.
-
-    It is read from ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder of this process is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="lithoframe-")
-    return _own_dir[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage so that a lost executor costs only the tasks it ran, and
-    gives later stages column pruning and exact sizes.  The folder goes when
-    the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Two counters of 32 bits in one long.
+_LANES = (1 << 32) | 1
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,7 +30,29 @@ def text_or_empty(name: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs without ASCII white space, in order; empty for none."""
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITE), "")
+
+
+def vote_columns(hash_: Column, weight: Column | None = None, name: str = "__v") -> list[Column]:
+    """Aggregates that count, for each of 64 bits, the (weighted) hashes that set it.
+
+    Counter k holds bit k in its lower and bit k + 32 in its upper half, so 32
+    longs do for 64 bits; a group's weights may sum to at most 2**31.
+    """
+    ones = [F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(_LANES)) for k in range(32)]
+    return [F.sum(x if weight is None else x * weight).alias(f"{name}{k}") for k, x in enumerate(ones)]
+
+
+def voted_bits(total: Column, name: str = "__v") -> Column:
+    """The 64 bits that over half of ``total`` set, as a long; null counters give 0."""
+    out = F.lit(0).cast("long")
+    for k in range(32):
+        v = F.col(f"{name}{k}")
+        low, high = v.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(v, 32)
+        out = out.bitwiseOR(F.when(low * 2 > total, F.lit(1 << k)).otherwise(F.lit(0).cast("long")))
+        upper = 1 << (k + 32)
+        out = out.bitwiseOR(F.when(high * 2 > total, F.lit(upper - (1 << 64) if upper >> 63 else upper)).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,6 +20,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -96,6 +97,12 @@ class WordEncoder:
         return [self._direct([texts[k]])[0] if k in odd else b"".join(map(get, p)) for k, p in enumerate(parts)]
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, the ids."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
@@ -106,7 +113,7 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 ids = encode(batch.column(1).slice(first, 256).to_pylist())

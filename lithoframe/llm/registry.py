@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import packing, token_counts
+from lithoframe.llm import near_dedup, packing, token_counts
 
 
 def queries():
     return {
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op8_simhash_groups": near_dedup.op8_simhash_groups,
     }
 
 
