@@ -18,6 +18,7 @@ id and text columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,6 +104,12 @@ class PretokenCounter:
         return out
 
 
+@functools.cache
+def _counter(path: str, pattern: str | None, specials: tuple[str, ...]) -> PretokenCounter:
+    """One counter for all tasks of a Python worker."""
+    return PretokenCounter(path, pattern, prove_whole_tokens(path) if pattern else frozenset(), specials)
+
+
 def _slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, so that long texts do not pile up."""
     start = size = 0
@@ -131,12 +138,11 @@ def count_tokens(
     without one, every text goes to the library whole.  ``specials`` are the
     strings the library treats as special tokens inside texts.
     """
-    whole = prove_whole_tokens(tokenizer_path) if pattern else frozenset()
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     schema = StructType([StructField(id_col, df.schema[id_col].dataType), StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = PretokenCounter(tokenizer_path, pattern, whole, specials)
+        count = _counter(tokenizer_path, pattern, specials)
         for batch in batches:
             texts = batch.column(1)
             for start in range(0, len(texts), 512):
