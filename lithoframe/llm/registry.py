@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import near_dedup, packing, token_counts
+from lithoframe.llm import near_dedup, packing, suffix_dedup, token_counts
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_simhash_groups": near_dedup.op8_simhash_groups,
+        "op10_prefix_free_dedup": suffix_dedup.op10_prefix_free_dedup,
     }
 
 
