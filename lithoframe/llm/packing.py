@@ -24,10 +24,11 @@ import functools
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -36,10 +37,8 @@ from lithoframe.llm.common import materialize, table
 
 #: Pieces of one length that are ranked together.
 BUCKET_ROWS = 512
-#: Entries of each of the encoder's two memories in a Python worker.
-CACHE_ENTRIES = 250_000
-#: Separators that Python's split() knows and the vocabulary's \s does not.
-_ODD = regex.compile("[\x1c-\x1f]")
+#: Distinct chunks that a Python worker remembers (about 200 bytes each).
+CACHE_ENTRIES = 600_000
 
 
 class WordEncoder:
@@ -47,8 +46,10 @@ class WordEncoder:
 
     No pre-token spans white space, so a text's ids are those of its chunks in
     order; chunks repeat, so the library sees each distinct one once.  A letter
-    run followed by one full stop or comma splits further, and ASCII chunks are
-    lower-cased first, as the vocabulary's normalizer does itself.
+    run followed by ASCII punctuation splits further, and ASCII letter runs are
+    lower-cased first, as the vocabulary's normalizer does itself.  New
+    letter runs are encoded many to a text: each ends with its only token that
+    carries the end-of-word mark, which tells where its ids end.
     """
 
     def __init__(self, path: str):
@@ -57,44 +58,68 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.tail = {c: self._direct([c])[0] for c in ".,"}
+        vocab = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letter_runs(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(runs), 2000):
+            part = runs[at : at + 2000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):  # a character the two sides class differently
+                out += self._direct(part)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        todo: dict[str, tuple[str, str]] = {}
+        known = self.known
+        runs, others, built = set(), set(), []
         for c in new:
-            if "<|" in c:
-                todo[c] = (c, "")
+            core = c.rstrip(punctuation)
+            if not core.isalpha() or "<|" in c:
+                others.add(c)
                 continue
-            last = c[-1]
-            core, tail = (c[:-1], last) if last in ".," and c[:-1].isalpha() else (c, "")
-            todo[c] = (core.lower() if core.isascii() else core, tail)
-        cores = self.cores
-        rest = list({core for core, _ in todo.values() if core not in cores})
-        if len(cores) + len(rest) > CACHE_ENTRIES:
-            cores.clear()
-            rest = list({core for core, _ in todo.values()})
-        cores.update(zip(rest, self._direct(rest)))
-        for c, (core, tail) in todo.items():
-            self.chunks[c] = cores[core] + self.tail[tail] if tail else cores[core]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        odd = {k for k, t in enumerate(texts) if _ODD.search(t)}
-        parts = [[] if k in odd else t.split() for k, t in enumerate(texts)]
-        chunks = self.chunks
-        new = set().union(*parts).difference(chunks)
-        if new:
-            if len(chunks) + len(new) > CACHE_ENTRIES:
-                chunks.clear()
-                new = set().union(*parts)
-            self._learn(list(new))
-        get = chunks.__getitem__
-        return [self._direct([texts[k]])[0] if k in odd else b"".join(map(get, p)) for k, p in enumerate(parts)]
+            tail = c[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            if core not in known:
+                runs.add(core)
+            if tail and tail not in known:
+                others.add(tail)
+            if core != c:
+                built.append((c, core, tail))
+        letters, whole = list(runs), list(others)
+        known.update(zip(letters, self._letter_runs(letters)))
+        known.update(zip(whole, self._direct(whole)))
+        for c, core, tail in built:
+            known[c] = known[core] + known[tail] if tail else known[core]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (and the last end)."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known = {"": b""}
+            new = [c for c in chunks if c]
+        self._learn(new)
+        found = list(map(self.known.__getitem__, chunks))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(starts[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 @functools.cache
@@ -115,11 +140,12 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                ids = encode(batch.column(1).slice(first, 256).to_pylist())
+            for first in range(0, batch.num_rows, 1024):
+                ids, bounds = encode(batch.column(1).slice(first, 1024))
+                data, bounds = ids.tobytes(), (4 * bounds).tolist()
                 row, piece, length, crc, kept = [], [], [], [], []
-                for k, one in enumerate(ids):
-                    one += end
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    one = data[a:b] + end
                     for p, at in enumerate(range(0, len(one), step)):
                         cut = one[at : at + step]
                         row.append(first + k)
