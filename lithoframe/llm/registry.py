@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import near_dedup, packing, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, near_dedup, packing, suffix_dedup, token_counts
 
 
 def queries():
     return {
+        "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_simhash_groups": near_dedup.op8_simhash_groups,
