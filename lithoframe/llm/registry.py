@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import decontaminate, near_dedup, packing, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_simhash_groups": near_dedup.op8_simhash_groups,
+        "op9_byte_cnn_quality": quality.op9_byte_cnn_quality,
         "op10_prefix_free_dedup": suffix_dedup.op10_prefix_free_dedup,
     }
 
