@@ -146,19 +146,23 @@ def _matcher(items: tuple[tuple[int, str], ...], rate: float, min_piece: int) ->
     return Matcher(items, rate, min_piece)
 
 
+def _blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The items in blocks of about BLOCK_CHARS characters; at least one block."""
+    total = items.select(F.sum(F.length(text_or_empty(item_text_col)))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    keyed = items.select(F.col(item_col).cast("long").alias("i"), text_or_empty(item_text_col).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    for block in range(blocks):
+        yield tuple(sorted((-1 if r.i is None else r.i, r.t) for r in keyed.where(F.col("b") == block).select("i", "t").collect()))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_piece: int = MIN_PIECE
 ) -> DataFrame:
     """One row per document and item it holds: ids, edit distance, start and end (code points)."""
-    spark = docs.sparkSession
-    total = items.select(F.sum(F.length(text_or_empty(item_text_col)))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    keyed = items.select(F.col(item_col).cast("long").alias("i"), text_or_empty(item_text_col).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text"))
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField(item_col, LongType()), StructField("distance", IntegerType()), StructField("start", LongType()), StructField("end", LongType())])
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        own = tuple(sorted((-1 if r.i is None else r.i, r.t) for r in keyed.where(F.col("b") == block).select("i", "t").collect()))
+    out = None
+    for own in _blocks(items, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             match = _matcher(own, rate, min_piece)
@@ -172,9 +176,25 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())], names=schema.names)
 
         part = rows.mapInArrow(run, schema)
-        out = part if block == 0 else out.unionByName(part)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_piece: int = MIN_PIECE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts hold no item; no join, no shuffle."""
+    at = docs.columns.index(text_col)
+    for own in _blocks(items, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            match = _matcher(own, rate, min_piece)
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    part = batch.slice(first, 256)
+                    yield part.filter(pa.array([not (text and match(text)) for text in part.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

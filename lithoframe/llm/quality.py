@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score_quality(docs: DataFrame, model: ByteNet | float, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, score and predicted of every row, with the ``carry`` columns."""
+    """``id_col``, score and predicted of every row; or the ``carry`` columns, __score and __predicted."""
     kept = [f"__c{k}" for k in range(len(carry))]
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"), *[F.col(c).alias(k) for c, k in zip(carry, kept)])
     schema = StructType([*(f for f in rows.schema.fields if f.name != "__text"), StructField("__score", DoubleType())])
@@ -234,7 +234,10 @@ def score_quality(docs: DataFrame, model: ByteNet | float, *, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
 
     done = rows.mapInArrow(run, schema)
-    return done.select(F.col("__id").alias(id_col), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), *[F.col(k).alias(c) for c, k in zip(carry, kept)])
+    predicted = (F.col("__score") >= 0.5).cast("int")
+    if carry:
+        return done.select(*[F.col(k).alias(c) for c, k in zip(carry, kept)], "__score", predicted.alias("__predicted"))
+    return done.select(F.col("__id").alias(id_col), F.col("__score").alias("score"), predicted.alias("predicted"))
 
 
 def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

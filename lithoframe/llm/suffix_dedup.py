@@ -293,8 +293,8 @@ def _remove_bytes(t: pa.Table, known: pa.Table, length: int, gram: int, shards:
             out["n_removed"].append(removed)
             out["n_spans"].append(int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if removed else 0)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept if with_kept else None)
-    kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+            out["kept"].append(kept.decode(errors="ignore") if with_kept else None)
+    kinds = {"kept_sha256": pa.string(), "kept": pa.string()}
     if not with_kept:
         del out["kept"]
     done = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
@@ -307,7 +307,10 @@ def _remove_bytes(t: pa.Table, known: pa.Table, length: int, gram: int, shards:
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 of every row; ``kept`` bytes and ``carry`` columns if asked for."""
+    """id, n_bytes, n_removed, n_spans and kept_sha256 of every row; ``kept`` and ``__carried`` (a struct of ``carry``) if asked for.
+
+    ``kept`` is the text of the remaining bytes, without characters that lost some of their bytes.
+    """
     if not gram < length < gram + 64:
         raise ValueError("gram < length < gram + 64")
     text = text_or_empty(text_col)
@@ -320,9 +323,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     judged = triggers.groupBy("shard").applyInArrow(_judge_triggers, answer)
     phrases = docs.groupBy("__slice").cogroup(judged.groupBy("slice")).applyInArrow(lambda t, k: _send_phrases(t, k, length, gram, shards), "shard int, slice int, least binary, sizes binary, data binary")
     marked = phrases.groupBy("shard").applyInArrow(lambda t: _mark_windows(t, length), answer)
-    schema = "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept + "".join(f", {h} {docs.schema[h].dataType.simpleString()}" for h in held)
+    schema = "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_kept + "".join(f", {h} {docs.schema[h].dataType.simpleString()}" for h in held)
     done = docs.groupBy("__slice").cogroup(judged.unionByName(marked).groupBy("slice")).applyInArrow(lambda t, k: _remove_bytes(t, k, length, gram, shards, with_kept), schema)
-    return done.select(F.col("__id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *[F.col(h).alias(c) for c, h in zip(carry, held)])
+    return done.select(F.col("__id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *([F.struct(*[F.col(h).alias(c) for c, h in zip(carry, held)]).alias("__carried")] if carry else []))
 
 
 def op10_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
