@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import decontaminate, fingerprints, near_dedup, packing, quality, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_main_text": html_text.op5_main_text,
         "op6_simhash_fingerprints": fingerprints.op6_simhash_fingerprints,
         "op8_simhash_groups": near_dedup.op8_simhash_groups,
         "op9_byte_cnn_quality": quality.op9_byte_cnn_quality,
