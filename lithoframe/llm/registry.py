@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, fingerprints, html_text, language_model, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_main_text": html_text.op5_main_text,
         "op6_simhash_fingerprints": fingerprints.op6_simhash_fingerprints,
+        "op7_gru_scores": language_model.op7_gru_scores,
         "op8_simhash_groups": near_dedup.op8_simhash_groups,
         "op9_byte_cnn_quality": quality.op9_byte_cnn_quality,
         "op10_prefix_free_dedup": suffix_dedup.op10_prefix_free_dedup,
