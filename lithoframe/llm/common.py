@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.plans.scratch import materialize
 
-__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "table", "text_or_empty", "vote_columns", "voted_bits", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "small_batches", "table", "text_or_empty", "vote_columns", "voted_bits", "words"]
 
 #: ASCII capitals and their lower-case forms, for translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,5 +55,15 @@ def voted_bits(total: Column, name: str = "__v") -> Column:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most 8 MB of rows to Python at a time.
+
+    Rows with long texts would otherwise be held in batches of up to 64 MB, in
+    the executor and again in each of its Python workers.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lithoframe.llm.common import table, text_or_empty
+from lithoframe.llm.common import small_batches, table, text_or_empty
 
 BLOCK_CHARS = 4_000_000
 #: Share of an item's characters that may be edited, and the least length of a piece.
@@ -175,7 +175,7 @@ def find_leaks(
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())], names=schema.names)
 
-        part = rows.mapInArrow(run, schema)
+        part = small_batches(rows).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -192,7 +192,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                     part = batch.slice(first, 256)
                     yield part.filter(pa.array([not (text and match(text)) for text in part.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

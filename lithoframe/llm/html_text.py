@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lithoframe.llm.common import table
+from lithoframe.llm.common import small_batches, table
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -249,7 +249,7 @@ def extract_text(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...]
                 texts = [main_text(x) for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], F.col("__text").alias("text"), F.col("__n").alias("n_chars"))
+    return small_batches(rows).mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], F.col("__text").alias("text"), F.col("__n").alias("n_chars"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

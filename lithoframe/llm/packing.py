@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lithoframe.llm.common import materialize, table
+from lithoframe.llm.common import materialize, small_batches, table
 
 #: Pieces of one length that are ranked together.
 BUCKET_ROWS = 512
@@ -159,7 +159,7 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
                     out.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def _best_pair(alive: list[int], left: dict[int, int], above: int, most: int) -> tuple[int, int] | None:

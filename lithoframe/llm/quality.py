@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lithoframe.llm.common import table, text_or_empty
+from lithoframe.llm.common import small_batches, table, text_or_empty
 
 #: Bounds of the sample that is learned from: rows, and UTF-8 bytes of each.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 30_000
 STRIDE, HALF = 4, 512
-_TILE = 1 << 20
+_TILE = 1 << 18
 
 
 class ByteNet:
@@ -226,14 +226,14 @@ def score_quality(docs: DataFrame, model: ByteNet | float, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 scores = np.full(len(texts), model) if isinstance(model, float) else model.score(texts)
                 columns = [part.column(k) for k in range(part.num_columns) if k != 1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
 
-    done = rows.mapInArrow(run, schema)
+    done = small_batches(rows).mapInArrow(run, schema)
     predicted = (F.col("__score") >= 0.5).cast("int")
     if carry:
         return done.select(*[F.col(k).alias(c) for c, k in zip(carry, kept)], "__score", predicted.alias("__predicted"))

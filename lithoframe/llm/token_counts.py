@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from lithoframe.llm.common import table
+from lithoframe.llm.common import small_batches, table
 
 #: Characters outside this set send a text to the library as a whole.
 _PLAIN = regex.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]")
@@ -156,7 +156,7 @@ def count_tokens(
                     names=[id_col, "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
