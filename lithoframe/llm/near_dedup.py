@@ -69,16 +69,25 @@ def segments(distinct: int, radius: int, bits: int = 64) -> list[tuple[int, int,
     return [s for s in out if s[2] >= 0]
 
 
+def _entry(segment: int, key: Column, listed: bool) -> Column:
+    return F.struct(F.lit(segment).alias("seg"), key.alias("key"), F.lit(listed).alias("listed"))
+
+
+def _nearby(segment: int, own: Column, masks: list[int]) -> Column:
+    """Entries of the values that differ from ``own`` by a mask and are smaller."""
+    flipped = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: own.bitwiseXOR(m))
+    return F.transform(F.filter(flipped, lambda x: x < own), lambda x: _entry(segment, x, False))
+
+
 def _keys(fp: Column, plan: list[tuple[int, int, int]]) -> Column:
     """Array of (seg, key, listed): a row under its own values, and looking up smaller ones nearby."""
     parts = []
     for i, (shift, width, near) in enumerate(plan):
         own = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-        parts.append(F.array(F.struct(F.lit(i).alias("seg"), own.alias("key"), F.lit(True).alias("listed"))))
+        parts.append(F.array(_entry(i, own, True)))
         masks = [sum(1 << b for b in c) for r in range(1, near + 1) for c in combinations(range(width), r)]
         if masks:
-            smaller = F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, own=own: own.bitwiseXOR(m)), lambda x, own=own: x < own)
-            parts.append(F.transform(smaller, lambda x, i=i: F.struct(F.lit(i).alias("seg"), x.alias("key"), F.lit(False).alias("listed"))))
+            parts.append(_nearby(i, own, masks))
     return F.concat(*parts)
 
 
@@ -102,13 +111,13 @@ def _forest(group: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Verified links (a, b) among distinct fingerprints ``fp``, a materialized table.
 
     All links of segment values with few members; a spanning forest of those of
-    values with many.
+    values with many.  Any ``plan`` of segments gives the same components.
     """
-    plan = segments(distinct.count(), radius)
+    plan = plan or segments(distinct.count(), radius)
     rows = distinct.select("fp", F.explode(_keys(F.col("fp"), plan)).alias("k")).select("fp", "k.seg", "k.key", "k.listed")
     sizes = rows.groupBy("seg", "key").agg(F.count(F.when(F.col("listed"), 1)).alias("n0"), F.count("*").alias("n"))
     heavy = materialize(sizes.where((F.col("n0") > 0) & (F.col("n") > LIGHT)).select("seg", "key", "n"), "heavy")
