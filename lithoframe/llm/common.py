@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.plans.scratch import materialize
 
-__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "small_batches", "table", "text_or_empty", "vote_columns", "voted_bits", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "small_batches", "table", "text_or_empty", "vote_columns", "vote_names", "voted_bits", "words"]
 
 #: ASCII capitals and their lower-case forms, for translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,9 +15,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java pattern of the white space that separates words.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
-#: Two counters of 32 bits in one long.
-_LANES = (1 << 32) | 1
-
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
@@ -33,26 +30,40 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE), "")
 
 
-def vote_columns(hash_: Column, weight: Column | None = None, name: str = "__v") -> list[Column]:
+def vote_columns(hash_: Column, weight: Column | None = None, lanes: int = 2, name: str = "__v") -> list[Column]:
     """Aggregates that count, for each of 64 bits, the (weighted) hashes that set it.
 
-    Counter k holds bit k in its lower and bit k + 32 in its upper half, so 32
-    longs do for 64 bits; a group's weights may sum to at most 2**31.
+    A long holds ``lanes`` counters: counter j of long k is for bit
+    k + j * 64 / lanes.  A group's weights may sum to less than 2**(64 / lanes).
     """
-    ones = [F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(_LANES)) for k in range(32)]
-    return [F.sum(x if weight is None else x * weight).alias(f"{name}{k}") for k, x in enumerate(ones)]
-
-
-def voted_bits(total: Column, name: str = "__v") -> Column:
-    """The 64 bits that over half of ``total`` set, as a long; null counters give 0."""
-    out = F.lit(0).cast("long")
-    for k in range(32):
-        v = F.col(f"{name}{k}")
-        low, high = v.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(v, 32)
-        out = out.bitwiseOR(F.when(low * 2 > total, F.lit(1 << k)).otherwise(F.lit(0).cast("long")))
-        upper = 1 << (k + 32)
-        out = out.bitwiseOR(F.when(high * 2 > total, F.lit(upper - (1 << 64) if upper >> 63 else upper)).otherwise(F.lit(0).cast("long")))
-    return out
+    width = 64 // lanes
+    ones = sum(1 << (width * j) for j in range(lanes))
+    votes = [F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(ones)) for k in range(width)]
+    return [F.sum(x if weight is None else x * weight).alias(f"{name}{k}") for k, x in enumerate(votes)]
+
+
+def vote_names(lanes: int = 2, name: str = "__v") -> list[str]:
+    return [f"{name}{k}" for k in range(64 // lanes)]
+
+
+def voted_bits(groups: Column, total: Column, lanes: int = 2, first: int = 0) -> Column:
+    """The 64 bits that over half of ``total`` set, as a long.
+
+    ``groups`` is an array of arrays of the longs of `vote_columns`, from
+    position ``first`` on; their counters add up.  Written with lambdas and not
+    as 64 expressions, which would make generated code too large to compile in
+    an executor's memory.
+    """
+    width = 64 // lanes
+    low = F.lit((1 << width) - 1)
+
+    def count(bit: Column) -> Column:
+        at, shift = (bit % width + first).cast("int"), (F.floor(bit / width) * width).cast("int")
+        one = lambda g: F.call_function("shiftrightunsigned", F.coalesce(F.get(g, at), F.lit(0).cast("long")), shift).bitwiseAND(low)
+        return F.aggregate(groups, F.lit(0).cast("long"), lambda s, g: s + one(g))
+
+    bit = lambda out, k: out.bitwiseOR(F.when(count(k) * 2 > total, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

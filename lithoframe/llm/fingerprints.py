@@ -26,9 +26,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, voted_bits, words
+from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, vote_names, voted_bits, words
 
 HEAVIEST = 24
+#: Terms that are counted in 16 bits together; PART_TERMS * HEAVIEST < 2**16.
+PART_TERMS = 2048
 #: Documents that are put in order together.
 RUN_ROWS = 4000
 #: Quantiles of the ids that are fetched to cut them into runs.
@@ -48,10 +50,14 @@ def simhash128(df: DataFrame, keys: list[str], text_col: str, keep: tuple[str, .
 
     ``keys`` must tell the rows apart; ``keep`` names columns of numbers that go along.
     """
-    rows = df.select(*keys, *keep, F.explode_outer(_terms(text_or_empty(text_col))).alias("__t"))
-    flat = rows.select(*keys, *keep, "__t.one", "__t.two", "__t.weight")
-    votes = flat.groupBy(*keys).agg(*vote_columns(F.col("one"), F.col("weight"), "__a"), *vote_columns(F.col("two"), F.col("weight"), "__b"), F.sum("weight").alias("__n"), *[F.max(k).alias(k) for k in keep])
-    return votes.select(*keys, *keep, voted_bits(F.col("__n"), "__a").alias("hi"), voted_bits(F.col("__n"), "__b").alias("lo"))
+    rows = df.select(*keys, *keep, F.posexplode_outer(_terms(text_or_empty(text_col))).alias("__at", "__t"))
+    part = F.coalesce(F.floor(F.col("__at") / PART_TERMS), F.lit(0)).alias("__part")
+    flat = rows.select(*keys, *keep, part, "__t.one", "__t.two", "__t.weight")
+    sums = [*vote_columns(F.col("one"), F.col("weight"), 4, "__a"), *vote_columns(F.col("two"), F.col("weight"), 4, "__b"), F.sum("weight").alias("__n")]
+    parts = flat.groupBy(*keys, "__part").agg(*sums, *[F.max(k).alias(k) for k in keep])
+    longs = F.collect_list(F.array(*vote_names(4, "__a"), *vote_names(4, "__b"))).alias("__v")
+    votes = parts.groupBy(*keys).agg(longs, F.sum("__n").alias("__n"), *[F.max(k).alias(k) for k in keep])
+    return votes.select(*keys, *keep, voted_bits(F.col("__v"), F.col("__n"), 4).alias("hi"), voted_bits(F.col("__v"), F.col("__n"), 4, 16).alias("lo"))
 
 
 def as_hex(hi: Column, lo: Column) -> Column:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, voted_bits, words
+from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, vote_names, voted_bits, words
 from lithoframe.operators.components import connected_components
 
 #: Members of a segment value up to which it is joined directly.
@@ -55,7 +55,7 @@ def simhash_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), words(ascii_lower(text_or_empty(text_col))).alias("__w"))
     terms = rows.select("__id", "__row", F.explode_outer(shingle_hashes(F.col("__w"), shingle)).alias("__h"))
     votes = terms.groupBy("__id", "__row").agg(*vote_columns(F.col("__h")), F.count("__h").alias("__n"))
-    return votes.select(F.col("__id").alias(id_col), voted_bits(F.col("__n")).alias("fp"))
+    return votes.select(F.col("__id").alias(id_col), voted_bits(F.array(F.array(*vote_names())), F.col("__n")).alias("fp"))
 
 
 def segments(distinct: int, radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
