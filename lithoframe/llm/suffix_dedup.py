@@ -51,9 +51,9 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.common import table, text_or_empty
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 #: Text bytes whose triggers go to one shard.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 4_000_000
 HOT_SLICES = 1024
 _TILE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
