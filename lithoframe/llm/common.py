@@ -34,7 +34,7 @@ def vote_columns(hash_: Column, weight: Column | None = None, lanes: int = 2, na
     """Aggregates that count, for each of 64 bits, the (weighted) hashes that set it.
 
     A long holds ``lanes`` counters: counter j of long k is for bit
-    k + j * 64 / lanes.  A group's weights may sum to less than 2**(64 / lanes).
+    k + j * 64 / lanes.  A group's weights must sum to less than 2**(64 / lanes - 1).
     """
     width = 64 // lanes
     ones = sum(1 << (width * j) for j in range(lanes))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, vote_names, voted_bits, words
 
 HEAVIEST = 24
-#: Terms that are counted in 16 bits together; PART_TERMS * HEAVIEST < 2**16.
-PART_TERMS = 2048
+#: Terms that are counted together in 16 bits, of which the uppermost is the sign: PART_TERMS * HEAVIEST < 2**15.
+PART_TERMS = 1024
 #: Documents that are put in order together.
 RUN_ROWS = 4000
 #: Quantiles of the ids that are fetched to cut them into runs.
