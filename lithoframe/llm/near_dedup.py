@@ -145,10 +145,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``df``, all columns, whose id is their component's; one row for each such id.
 
-    Rows with a null id cannot be told apart and all stay.
+    Rows with a null id cannot be told apart and all stay.  The ids to keep grow
+    with the table, so the join is a sort-merge join at every size.
     """
     groups = materialize(near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius).select(id_col, "component_id"), "groups")
-    kept = df.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi").select(df.columns)
+    kept = df.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().hint("merge"), id_col, "left_semi").select(df.columns)
     if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))
