@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import decontaminate, fingerprints, html_text, language_model, near_dedup, packing, quality, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, fingerprints, html_text, language_model, licenses, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def queries():
     return {
         "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_best_two_fit": packing.op3_best_two_fit,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_main_text": html_text.op5_main_text,
