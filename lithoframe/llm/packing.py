@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from lithoframe.llm.common import materialize, small_batches, table
 
@@ -112,14 +112,10 @@ class WordEncoder:
             self.known = {"": b""}
             new = [c for c in chunks if c]
         self._learn(new)
-        found = list(map(self.known.__getitem__, chunks))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        many = sizes[codes]
-        ends = np.cumsum(many)
-        ids = pool[np.repeat(starts[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = pa.array(list(map(self.known.__getitem__, chunks)), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+        ids = np.frombuffer(found.buffers()[2], "<u4", ends[-1] // 4) if ends[-1] else np.empty(0, "<u4")
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()].astype(np.int64) // 4
 
 
 @functools.cache
@@ -134,7 +130,7 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
     fields = [StructField(id_col, df.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]
     schema = StructType(fields)
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +178,16 @@ def _best_pair(alive: list[int], left: dict[int, int], above: int, most: int) ->
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-two-fit on counts: bin contents (length -> pieces) and how many bins are filled so."""
+    """Bin contents (length -> pieces) and how many bins are filled so.
+
+    Best-two-fit on counts.  Where lengths are few, replacing can spend the small
+    pieces that later bins lack; the greedy fill alone is then used if it needs
+    fewer bins.
+    """
+    return min((_fill(histogram, capacity, two) for two in (True, False)), key=lambda bins: sum(t for _, t in bins))
+
+
+def _fill(histogram: dict[int, int], capacity: int, two: bool) -> list[tuple[dict[int, int], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     alive = sorted(left)
     out: list[tuple[dict[int, int], int]] = []
@@ -202,7 +207,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int,
             k = min(left[alive[at]], gap // alive[at])
             take(alive[at], k)
             gap -= k * alive[at]
-        while gap and len(taken):
+        while two and gap:
             least = min(taken)
             unpacked = [n for n in alive if left[n]]
             pair = _best_pair(unpacked, left, least, least + gap)
