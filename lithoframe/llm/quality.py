@@ -155,6 +155,8 @@ class ByteNet:
         doc = np.repeat(np.arange(len(halves)), n)
         top = np.maximum(tops[first], tops[second])
         best = np.maximum.reduceat(top, begins)[doc] == top
+        seen = np.cumsum(best, 0)
+        best &= seen - (seen[begins] - best[begins])[doc] == 1  # overlapping chunks share their maximum; it counts once
         dtop = dx[doc, :f] / n[doc, None] + dx[doc, f:] * best
         take = tops[first] >= tops[second]
         dhalf = np.zeros_like(tops)
