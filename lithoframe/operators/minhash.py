@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from lithoframe.functions.text import jaccard, shingles
 from lithoframe.operators.components import connected_components
@@ -45,19 +44,15 @@ def _signatures(hashes: pd.Series) -> pd.Series:
     return hashes.map(one)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _least(hashes: pd.Series) -> pd.Series:
-    return _signatures(hashes)
-
-
 def _sign_frames(frames):
     for f in frames:
         yield pd.DataFrame({"id": f["id"], "sig": _signatures(f["h"])})
 
 
-def signature(text: Column, k: int = 5) -> Column:
-    """MinHash signature of a text's word shingles; null without any."""
-    return _least(F.transform(shingles(text, k), base_hash))
+def signatures(df: DataFrame, id_col: str, text: Column, k: int = 5) -> DataFrame:
+    """id and sig, the MinHash signature of the word shingles of a text; null without any."""
+    hashed = df.select(F.col(id_col).alias("id"), F.transform(shingles(text, k), base_hash).alias("h"))
+    return hashed.mapInPandas(_sign_frames, f"id {df.schema[id_col].dataType.simpleString()}, sig array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -101,8 +96,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "id", text_col: str = "text"
     """
     words = F.size(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     long_enough = df.select(F.col(id_col).alias("id"), F.when(words >= least_words, F.col(text_col)).alias("__t"))
-    hashed = long_enough.select("id", F.transform(shingles(F.col("__t")), base_hash).alias("h"))
-    signed = materialize(hashed.mapInPandas(_sign_frames, f"id {df.schema[id_col].dataType.simpleString()}, sig array<long>"), "signatures")
+    signed = materialize(signatures(long_enough, "id", F.col("__t")), "signatures")
     reps = materialize(signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id")).select("id", "sig"), "representatives")
     pairs = materialize(similar_pairs(reps, least), "pairs")
     kept = first_kept(reps, pairs)
@@ -138,4 +132,4 @@ def source_families(copies: DataFrame, sizes: DataFrame, others: Sequence[DataFr
     return sizes.select("doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family"))
 
 
-__all__ = ["bands", "estimate", "first_kept", "jaccard", "near_duplicates", "permutation", "prefilter", "protected_differences", "signature", "similar_pairs", "source_families"]
+__all__ = ["bands", "estimate", "first_kept", "jaccard", "near_duplicates", "permutation", "prefilter", "protected_differences", "signatures", "similar_pairs", "source_families"]

@@ -43,7 +43,7 @@ def auc(df: DataFrame, score: str, positive: str, groups: Sequence[str] = ()) ->
     w = Window.partitionBy(*groups, *([] if groups else [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = at.withColumn("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     won = F.sum(F.col("__p") * (F.col("__b") + F.col("__n") / 2.0))
-    return below.groupBy(*groups).agg(F.round(won / (F.sum("__p") * F.sum("__n")), 6).alias("auc"), F.sum("__p").alias("positives"), F.sum("__n").alias("negatives"))
+    return below.groupBy(*groups).agg(F.round(F.try_divide(won, F.sum("__p") * F.sum("__n")), 6).alias("auc"), F.sum("__p").alias("positives"), F.sum("__n").alias("negatives"))
 
 
 def confusion(df: DataFrame, gold: str, predicted: str, labels: Sequence[str]) -> DataFrame:

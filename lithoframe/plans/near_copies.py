@@ -22,7 +22,7 @@ def _docs(spark, sf_dir):
 
 @query(f"WITH {_SIG.replace(' WHERE n_chars < 3000', '')} SELECT doc_id AS id, array_to_string(sig, ' ') AS sig FROM sigs WHERE sig IS NOT NULL")
 def minhash_signature(spark, sf_dir):
-    s = _docs(spark, sf_dir).select("id", M.signature(F.col("text")).alias("sig")).where("sig IS NOT NULL")
+    s = M.signatures(_docs(spark, sf_dir), "id", F.col("text")).where("sig IS NOT NULL")
     return s.select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), " ").alias("sig"))
 
 
@@ -31,7 +31,7 @@ def minhash_signature(spark, sf_dir):
 FROM (SELECT sig, CAST(unnest(range(16)) AS INTEGER) AS band FROM sigs WHERE sig IS NOT NULL) GROUP BY 1, 2) GROUP BY band"""
 )
 def lsh_bands(spark, sf_dir):
-    s = _docs(spark, sf_dir).select(M.signature(F.col("text")).alias("sig")).where("sig IS NOT NULL")
+    s = M.signatures(_docs(spark, sf_dir), "id", F.col("text")).where("sig IS NOT NULL")
     return s.select(F.explode(M.bands(F.col("sig"))).alias("x")).groupBy("x.band", "x.key").count().groupBy("band").agg(F.count("*").alias("buckets"), F.max("count").alias("largest"))
 
 

@@ -57,7 +57,7 @@ def binomial_test(spark, sf_dir):
 @query(
     """WITH x AS (SELECT lang, n_chars AS s, quality = 1 AS pos FROM documents JOIN labels USING (doc_id)), a AS (SELECT lang, s, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM x GROUP BY ALL),
 b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM a)
-SELECT lang, round(sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)), 6) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM b GROUP BY lang"""
+SELECT lang, round(sum(p * (below + n / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0), 6) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM b GROUP BY lang"""
 )
 def roc_auc(spark, sf_dir):
     return T.auc(_labelled(spark, sf_dir).withColumn("pos", F.col("quality") == 1), "n_chars", "pos", ["lang"])

@@ -50,7 +50,7 @@ def registry(spark: SparkSession, areas: str, aliases: str) -> tuple[DataFrame,
     a = spark.read.option("header", True).option("multiLine", True).csv(areas)
     for c in ("parent_ids", "deposit_types", "settings", "overlaps"):
         if c in a.columns:
-            a = a.withColumn(c, F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != ""))
+            a = a.withColumn(c, F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""))
     b = spark.read.option("header", True).csv(aliases)
     files = spark.read.format("binaryFile").load([areas, aliases]).select(F.sha2("content", 256).alias("h"))
     version = files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)).first()[0]
@@ -87,7 +87,7 @@ def table_by_headers(spark: SparkSession, path: str, columns: dict[str, str], se
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """A question set as JSON lines: id, question, keyword groups ``a|b`` and expected documents; ids are unique."""
     rows = spark.read.schema("id string, question string, keywords array<string>, documents array<string>, control boolean").json(path)
-    split = F.transform("keywords", lambda k: F.transform(F.split(k, r"\|"), F.trim))
+    split = F.transform("keywords", lambda k: F.transform(F.split(k, r"\|"), lambda x: F.trim(x)))
     out = rows.withColumn("keywords", split)
     twice = out.groupBy("id").count().where("count > 1").limit(1).collect()
     if twice:
