@@ -21,6 +21,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import gc
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -37,8 +38,8 @@ from lithoframe.llm.common import materialize, small_batches, table
 
 #: Pieces of one length that are ranked together.
 BUCKET_ROWS = 512
-#: Distinct chunks that a Python worker remembers (about 200 bytes each).
-CACHE_ENTRIES = 600_000
+#: Distinct chunks after which a Python worker starts a new memory; it keeps the one before (about 200 bytes a chunk).
+CACHE_ENTRIES = 300_000
 
 
 class WordEncoder:
@@ -62,6 +63,7 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,6 +85,15 @@ class WordEncoder:
         known = self.known
         runs, others, built = set(), set(), []
         for c in new:
+            if c.isalpha():
+                if c.isascii() and not c.islower():
+                    core = c.lower()
+                    built.append((c, core, ""))
+                    if core not in known:
+                        runs.add(core)
+                else:
+                    runs.add(c)
+                continue
             core = c.rstrip(punctuation)
             if not core.isalpha() or "<|" in c:
                 others.add(c)
@@ -92,10 +103,9 @@ class WordEncoder:
                 core = core.lower()
             if core not in known:
                 runs.add(core)
-            if tail and tail not in known:
+            if tail not in known:
                 others.add(tail)
-            if core != c:
-                built.append((c, core, tail))
+            built.append((c, core, tail))
         letters, whole = list(runs), list(others)
         known.update(zip(letters, self._letter_runs(letters)))
         known.update(zip(whole, self._direct(whole)))
@@ -107,11 +117,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {"": b""}
-            new = [c for c in chunks if c]
-        self._learn(new)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        missing = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in missing if c in older)
+        self._learn([c for c in missing if c not in older] if older else missing)
         found = pa.array(list(map(self.known.__getitem__, chunks)), pa.binary()).take(coded.indices)
         ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
         ids = np.frombuffer(found.buffers()[2], "<u4", ends[-1] // 4) if ends[-1] else np.empty(0, "<u4")
@@ -120,7 +131,11 @@ class WordEncoder:
 
 @functools.cache
 def _encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker.
+
+    Its memory holds no cycles, so its objects are kept from the cyclic collector.
+    """
+    gc.disable()
     return WordEncoder(path)
 
 
