@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lithoframe.functions import rules as R
 from lithoframe.operators import linking as L
 from lithoframe.operators import search as S
 from lithoframe.plans.catalog import query
@@ -181,3 +182,48 @@ def model_answers(spark, sf_dir):
     return L.map_model(docs, model, fallback=F.lit("fallback"))
 
 
+
+
+def _times(pattern):
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, {_times(r'\p{L}{2,}')} AS words, {_times(R.WORKPLACES)} AS places, {_times(R.AUTHOR)} AS people, {_times(R.PAGE)} AS pages FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'A. Smith, B. Jones. Institute of Geology, University of Leeds; Department of Earth Sciences. ' || text ELSE text END AS text FROM documents WHERE n_chars < 2000))
+SELECT doc_id, words < 150 AND pages < 2 AND ((places >= 3 AND places / greatest(words, 1) >= 0.06) OR (places >= 2 AND (places + people) / greatest(words, 1) >= 0.12)) AS affiliations FROM c"""
+)
+def affiliation_chunks(spark, sf_dir):
+    """Short documents, a fifth of them behind a line of authors and places of work."""
+    line = F.lit("A. Smith, B. Jones. Institute of Geology, University of Leeds; Department of Earth Sciences. ")
+    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(line, "text")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text")).select("doc_id", R.is_affiliations(F.col("text")).alias("affiliations"))
+
+
+@query(
+    r"""SELECT p_partkey, len(string_split(p_name, ' ')) <= 3 AND regexp_matches(p_name, '^\p{L}[\p{L}\s''’-]*$') AS usable,
+CASE WHEN list_bool_and(list_transform(string_split(lower(p_name), ' '), lambda w: w IN ('ore', 'zone', 'body', 'rock', 'rocks', 'deposit', 'deposits', 'vein', 'veins', 'area', 'field'))) THEN 'generic' END AS problem FROM part"""
+)
+def name_rules(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", R.usable_in_question(F.col("p_name"), 3).alias("usable"), R.kind_problem(F.col("p_name"), F.lit("thing")).alias("problem"))
+
+
+@query(f"WITH {FACTS}, g AS (SELECT src, relation, dst, count(DISTINCT doc_id) AS docs FROM facts WHERE src IN ('S1', 'S2') GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY src, relation ORDER BY docs DESC, dst) AS rn FROM g) SELECT src, relation, count(*) AS others, string_agg(dst, ', ' ORDER BY docs DESC, dst) FILTER (WHERE rn <= 15) AS listed FROM n GROUP BY src, relation")
+def grouped_summary(spark, sf_dir):
+    """By relation, the fifteen strongest other ends in order."""
+    g = facts(spark, sf_dir).where("src IN ('S1', 'S2')").groupBy("src", "relation", "dst").agg(F.count_distinct("doc_id").alias("docs"))
+    n = g.withColumn("rn", F.row_number().over(Window.partitionBy("src", "relation").orderBy(F.desc("docs"), "dst")))
+    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= 15, F.struct("rn", "dst")))), lambda x: x.dst)
+    return n.groupBy("src", "relation").agg(F.count("*").alias("others"), F.array_join(listed, ", ").alias("listed"))
+
+
+@query(
+    """WITH i AS (SELECT source, lang || (doc_id % 40) AS item, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n = 1 ORDER BY n DESC, source, item) AS rn FROM i WHERE item <> 'en0') SELECT source, item, n FROM r WHERE n > 1 OR rn <= 25 ORDER BY n DESC, source, item LIMIT 60"""
+)
+def leftover_items(spark, sf_dir):
+    """Items that an answer has not named: at most 25 of a single source, at most 60 in all."""
+    i = table(spark, sf_dir, "documents").select("source", F.concat("lang", (F.col("doc_id") % 40).cast("string")).alias("item")).groupBy("source", "item").agg(F.count("*").alias("n")).where("item <> 'en0'")
+    order = [F.desc("n"), F.col("source"), F.col("item")]
+    r = i.withColumn("rn", F.row_number().over(Window.partitionBy(F.col("n") == 1).orderBy(*order)))
+    return r.where("n > 1 OR rn <= 25").orderBy(*order).limit(60).select("source", "item", "n")
