@@ -98,7 +98,9 @@ def area_relation(pairs: DataFrame, known: DataFrame, overlaps: DataFrame | None
     over = F.lit(False)
     if overlaps is not None:
         both = overlaps.select("a", "b").unionByName(overlaps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        met = both.join(known.select(F.col("ancestor").alias("a"), F.col("area").alias("claim")), "a").join(known.select(F.col("ancestor").alias("b"), F.col("area").alias("target")), "b").select("claim", "target", F.lit(True).alias("__over")).distinct()
+        asked = pairs.select("claim", "target").distinct()
+        up = asked.join(known.select(F.col("area").alias("claim"), F.col("ancestor").alias("a")), "claim").join(known.select(F.col("area").alias("target"), F.col("ancestor").alias("b")), "target")
+        met = up.join(both, ["a", "b"], "left_semi").select("claim", "target", F.lit(True).alias("__over")).distinct()
         out = out.join(met, ["claim", "target"], "left")
         over = F.coalesce("__over", F.lit(False))
     relation = (

@@ -112,6 +112,12 @@ def passes(strict: Column, similarity: Column, min_similarity: float, require_wo
     return strict if require_words else strict | (F.coalesce(similarity, F.lit(0.0)) >= min_similarity)
 
 
+def _fetched(top: DataFrame) -> DataFrame:
+    """A top-k result as a local table, so that later uses do not scan the corpus again."""
+    kept = top.select("id", "doc_id", "pos", *[c for c in ("similarity",) if c in top.columns])
+    return top.sparkSession.createDataFrame(kept.collect(), kept.schema)
+
+
 def hybrid_search(
     vectors: DataFrame, texts: DataFrame, vector: Sequence[float], query: Sequence[str], *, limit: int = 10, candidates: int = 50, k: int = 60, max_per_doc: int = 2, min_similarity: float = 0.0, require_words: bool = False
 ) -> DataFrame:
@@ -121,11 +127,11 @@ def hybrid_search(
     no strict match and at least three words, keyword search falls back to any
     word.  Columns: id, doc_id, score, similarity, found_by, place.
     """
-    near = vector_search(vectors, vector, candidates)
-    words = text_search(texts, query, candidates)
+    near = _fetched(vector_search(vectors, vector, candidates))
+    words = _fetched(text_search(texts, query, candidates))
     strict = True
-    if len(query) >= 3 and words.limit(1).count() == 0:
-        words, strict = text_search(texts, query, candidates, any_word=True), False
+    if len(query) >= 3 and not words.count():
+        words, strict = _fetched(text_search(texts, query, candidates, any_word=True)), False
     score = rrf([near, words], k=k)
     both = score.join(F.broadcast(near.select("id", F.col("doc_id").alias("__d1"), "similarity")), "id", "left").join(F.broadcast(words.select("id", F.col("doc_id").alias("__d2"), F.lit(strict).alias("strict"))), "id", "left")
     found = F.when(F.col("__d1").isNotNull() & F.col("__d2").isNotNull(), "both").when(F.col("__d1").isNotNull(), "vector").otherwise("text")
