@@ -32,16 +32,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import ascii_lower, materialize, table, text_or_empty, vote_columns, vote_names, voted_bits, words
+from lithoframe.llm.common import ascii_lower, materialize, small_batches, table, text_or_empty, vote_columns, vote_names, voted_bits, words
 from lithoframe.operators.components import connected_components
 
 #: Members of a segment value up to which it is joined directly.
 LIGHT = 48
 #: Members of one block of a larger segment value.
 BLOCK = 4096
+#: MinHash bands of `similar_groups`, and least values in each.
+BANDS, BAND_ROWS = 28, 5
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
@@ -142,17 +145,102 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _keep_least(df: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
+    groups = materialize(grouped.select(id_col, "component_id"), "groups")
+    kept = df.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().hint("merge"), id_col, "left_semi").select(df.columns)
+    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``df``, all columns, whose id is their component's; one row for each such id.
 
     Rows with a null id cannot be told apart and all stay.  The ids to keep grow
     with the table, so the join is a sort-merge join at every size.
     """
-    groups = materialize(near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius).select(id_col, "component_id"), "groups")
-    kept = df.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().hint("merge"), id_col, "left_semi").select(df.columns)
-    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    return _keep_least(df, near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), id_col)
+
+
+def _shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``df`` with ``__key``, which equal sets of shingles share, and ``__set``, the sorted set."""
+    w = df.withColumn("__w", words(ascii_lower(text_or_empty(text_col))))
+    return w.withColumn("__set", F.array_sort(F.array_distinct(shingle_hashes(F.col("__w"), shingle)))).withColumn("__key", F.xxhash64("__set")).drop("__w")
+
+
+def _band_keys(batches):
+    """`BANDS` keys of each shingle set: a hash of `BAND_ROWS` least values, each under its own multiplier."""
+    r = np.random.default_rng(11)
+    factors = r.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    mixers = r.integers(0, 2**63, BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    for t in batches:
+        sets = t.column("__set")
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        values = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        full = np.flatnonzero(np.diff(bounds) > 0)
+        keys = np.zeros((len(full), BANDS), np.uint64)
+        if len(full):
+            begin = bounds[full]
+            values, begin = values[begin[0] : bounds[full[-1] + 1]], begin - begin[0]
+            for k, factor in enumerate(factors):
+                band, row = divmod(k, BAND_ROWS)
+                least = np.minimum.reduceat(values * factor, begin)
+                keys[:, band] = (keys[:, band] ^ least ^ (least >> np.uint64(29))) * mixers[row]
+            keys ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        flat = pa.array(keys.ravel().view(np.int64))
+        ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
+        yield pa.RecordBatch.from_arrays([t.column("__key").take(pa.array(full)), pa.ListArray.from_arrays(ends, flat)], ["key", "bands"])
+
+
+def _similar(pairs: DataFrame, df: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of set keys whose exact Jaccard similarity is at least ``similarity``."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "asked")
+    sets = _shingle_sets(df.select(text_col), text_col, shingle).join(asked, "__key", "left_semi").groupBy("__key").agg(F.first("__set").alias("s"))
+    sets = materialize(sets, "sets")
+    x, y = sets.select(F.col("__key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__key").alias("b"), F.col("s").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col`` and component_id, the smallest id that links of Jaccard similarity ``similarity`` reach.
+
+    Radius 4 finds few pairs of similarity 0.8, whose 64-bit fingerprints differ
+    in about 10 bits, and Hamming balls of such a radius have thousands of values
+    a segment.  So candidates are pairs that share one of `BANDS` MinHash band
+    keys (a pair of similarity 0.8 is missed with probability 2e-5), and each link
+    is verified on the exact sets.  First a band key's members are compared with
+    one of them, a different one in every band; then, in the components so found,
+    all members of a key that are still apart.  No
+    candidate is lost; but the second step emits pairs, and a large group whose
+    members link to few others makes many (1,737,673 on check_h).
+    """
+    rows = materialize(_shingle_sets(df.select(id_col, text_col), text_col, shingle).select(F.col(id_col), "__key"), "keys")
+    sets = small_batches(_shingle_sets(df.select(text_col), text_col, shingle).select("__key", "__set"))
+    banded = sets.mapInArrow(_band_keys, "key long, bands array<long>")
+    listed = banded.select("key", F.explode("bands").alias("band")).distinct()
+    listed = materialize(listed, "bands")
+    crowd = listed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "band")).alias("centre")).where("n > 1")
+    crowded = materialize(listed.join(crowd, "band").select("band", "key", "centre"), "crowded")
+    stars = materialize(crowded.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "stars")
+    near = materialize(_similar(stars, df, text_col, shingle, similarity), "near")
+    parts = connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    apart = crowded.select("band", "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    mixed = apart.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band")
+    apart = materialize(apart.join(mixed, "band", "left_semi"), "apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    links_ = near.unionByName(_similar(rest, df, text_col, shingle, similarity))
+    whole = connected_components(links_).select(F.col("node").alias("__key"), F.col("component").alias("part"))
+    least = materialize(rows.groupBy("__key").agg(F.min(id_col).alias("least")).join(whole, "__key", "left").withColumn("part", F.coalesce("part", "__key")), "least")
+    named = least.join(least.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("__key", "component_id")
+    return rows.join(named, "__key").select(id_col, "component_id")
+
+
+def keep_one_of_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As `keep_one_of_each`, with the groups of `similar_groups`."""
+    return _keep_least(df, similar_groups(df, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity), id_col)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
