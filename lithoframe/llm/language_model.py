@@ -14,8 +14,7 @@ therefore covers every training document and grows with the corpus, a frequent
 word costs one entry per slice, and nothing but totals per class and the `HEAD`
 words reaches the driver.
 
-Weights.  Truncated backpropagation runs on a fixed share of the training
-documents (`SHARE`, chosen by hash; so it too grows with the corpus), in
+Weights.  Truncated backpropagation runs on every training document, in
 trainers of about `TRAINER_BYTES` that all start from the counts' unigram
 distribution; their weights are averaged in groups of `FAN_IN`, level by level.
 This is done `ROUNDS` times.
@@ -45,8 +44,8 @@ from lithoframe.llm.common import materialize, table, text_or_empty
 HEAD, CLASS_WORDS, TAIL = 2048, 64, 112
 HIDDEN = 16
 SLICE_BYTES, SHARD_BYTES = 6_000_000, 24_000_000
-#: One in so many training documents trains the weights.
-SHARE, TRAINER_BYTES, FAN_IN, ROUNDS = 16, 2_500_000, 16, 2
+#: One in so many training documents trains the weights: every one.
+SHARE, TRAINER_BYTES, FAN_IN, ROUNDS = 1, 2_500_000, 16, 2
 #: The end token's hash; a word that hashed to it would count as an end.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _HEAD_CLASSES = HEAD // CLASS_WORDS
