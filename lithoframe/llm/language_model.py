@@ -2,10 +2,11 @@
 
 Tokens are A-Z lower-cased words and one end per text.  The output softmax is
 factored into classes: a word's class is predicted from the recurrent state,
-then the word within its class.  The `HEAD` most frequent training words have
-learned classes of `CLASS_WORDS` words; every other word belongs to one of
-`TAIL` classes by its last characters and is drawn there from its smoothed
-corpus count, so every text has a probability and rare words keep their weight.
+then the member of its class.  The `HEAD` most frequent training words are the
+members of classes of `CLASS_WORDS`.  Every other word counts as its last letter,
+a member of the class of the mark after it, and is drawn among the words of that
+ending from its smoothed corpus count, so every text has a probability and rare
+words keep their weight.
 
 Counts.  Documents are dealt into slices by a hash of their id.  A slice sends
 each distinct word once, as a hash with its training count, to the hash's
@@ -14,16 +15,20 @@ therefore covers every training document and grows with the corpus, a frequent
 word costs one entry per slice, and nothing but totals per class and the `HEAD`
 words reaches the driver.
 
-Weights.  Truncated backpropagation runs on every training document, in
-trainers of about `TRAINER_BYTES` that all start from the counts' unigram
-distribution; their weights are averaged in groups of `FAN_IN`, level by level.
-This is done `ROUNDS` times.
+Weights.  Truncated backpropagation runs over every training document, in
+`ROUNDS` rounds that share the documents out.  A round's trainers, of about
+`TRAINER_BYTES` each, all start from the weights so far (at first the counts'
+unigram distribution); their weights are averaged in groups of `FAN_IN`, level by
+level.
 
 Scoring steps through all documents of a slice side by side, window by window,
-with the state carried from window to window to the end of every document.
+with the state carried from window to window to the end of every document.  A
+very long text takes one step a word like any other; texts of like length share a
+slice, so that few steps are for one text alone.
 
 Edge cases: null and empty texts are one end token; repeated rows each give a
-row; a null id counts as training and not as held out; without training
+row, which share a slice where id and text are equal; a null id counts as training
+and not as held out; ties in frequency go by the word's hash; without training
 documents every count is zero and the scores are those of the untrained model;
 an empty table gives an empty table; other input columns are ignored.
 """
@@ -41,14 +46,24 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.common import materialize, table, text_or_empty
 
-HEAD, CLASS_WORDS, TAIL = 2048, 64, 112
+HEAD, CLASS_WORDS = 2048, 64
+#: Tail classes: kinds of mark after a word's last letter, times letters.
+MARKS, LETTERS = 4, 28
+TAIL = MARKS * LETTERS
 HIDDEN = 16
-SLICE_BYTES, SHARD_BYTES = 6_000_000, 24_000_000
-#: One in so many training documents trains the weights: every one.
-SHARE, TRAINER_BYTES, FAN_IN, ROUNDS = 1, 2_500_000, 16, 2
+SLICE_BYTES, SHARD_BYTES = 6_000_000, 96_000_000
+#: Texts of up to 2 to the power of this bytes share slices.
+LEAST_KIND = 13
+TRAINER_BYTES, FAN_IN, ROUNDS, RATE = 6_000_000, 16, 2, 0.02
+#: Updates of a trainer that has few tokens.
+UPDATES = 96
 #: The end token's hash; a word that hashed to it would count as an end.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_HEAD_CLASSES = HEAD // CLASS_WORDS
+#: Classes of the output: those of head words, and one for each kind of mark after a tail word's last letter.
+CLASSES = HEAD // CLASS_WORDS + MARKS
+#: Where each class's members begin, and the class of each member.
+_BOUNDS = np.r_[np.arange(0, HEAD, CLASS_WORDS), HEAD + LETTERS * np.arange(MARKS + 1)]
+_CLASS = np.repeat(np.arange(CLASSES), np.diff(_BOUNDS))
 
 
 def tail_classes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -61,7 +76,7 @@ def tail_classes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     letter = lambda x: np.where((x >= 97) & (x <= 122), x - 97, np.where(x >= 128, 26, 27))
     plain = (letter(last) < 27).astype(np.int64)
     mark = np.where(plain, 0, np.where(last == 46, 1, np.where(last == 44, 2, 3)))
-    return (mark * 28 + np.where(plain, letter(last), letter(before))).astype(np.uint8)
+    return (mark * LETTERS + np.where(plain, letter(last), letter(before))).astype(np.uint8)
 
 
 class Words:
@@ -123,67 +138,94 @@ class Vocabulary:
 def first_weights(vocab: Vocabulary) -> dict[str, np.ndarray]:
     """Weights whose output is the corpus's unigram distribution."""
     r, h = np.random.default_rng(3), HIDDEN
-    word = np.log(vocab.counts + 0.1).reshape(_HEAD_CLASSES, CLASS_WORDS)
-    total = np.r_[(vocab.counts + 0.1).reshape(_HEAD_CLASSES, CLASS_WORDS).sum(1), np.maximum(vocab.n + vocab.v, 0) + 1]
+    weight = np.r_[vocab.counts + 0.1, np.maximum(vocab.n + vocab.v, 0) + 1]
+    total = np.add.reduceat(weight, _BOUNDS[:-1])
     w = {
         "emb": r.normal(0, 0.3, (HEAD + TAIL, h)),
         "W": r.normal(0, h**-0.5, (h, 3 * h)),
         "U": r.normal(0, h**-0.5, (h, 3 * h)),
         "b": np.r_[np.ones(h), np.zeros(2 * h)],
-        "C": r.normal(0, 0.02, (h, _HEAD_CLASSES + TAIL)),
+        "C": r.normal(0, 0.02, (h, CLASSES)),
         "cb": np.log(total / total.sum()),
-        "O": r.normal(0, 0.02, (HEAD, h)),
-        "ob": word.ravel(),
+        "O": r.normal(0, 0.02, (HEAD + TAIL, h)),
+        "ob": np.log(weight / np.repeat(total, np.diff(_BOUNDS))),
     }
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 30, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def step(gates: np.ndarray, h: np.ndarray, U: np.ndarray):
-    """The state after one token; and what backpropagation needs."""
+def _gated(f: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both gates, the candidate's share of the old state, and the candidate; (units, lanes) each."""
     d = HIDDEN
-    from_h = h @ U
-    zr = _sigmoid(gates[:, : 2 * d] + from_h[:, : 2 * d])
-    z, r = zr[:, :d], zr[:, d:]
-    n = np.tanh(gates[:, 2 * d :] + r * from_h[:, 2 * d :])
-    return n + z * (h - n), z, r, n, from_h[:, 2 * d :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+    zr, u = f[: 2 * d], f[2 * d :]
+    zr += gates[: 2 * d]
+    np.negative(zr, out=zr)
+    np.exp(np.minimum(zr, 30, out=zr), out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    n = zr[d:] * u
+    n += gates[2 * d :]
+    return zr, u, np.tanh(n, out=n)
+
+
+def step(gates: np.ndarray, h: np.ndarray, U: np.ndarray) -> np.ndarray:
+    """The states after one token; all arrays (units, lanes), ``U`` transposed."""
+    zr, _, n = _gated(U @ h, gates)
+    h = h - n
+    h *= zr[:HIDDEN]
+    h += n
+    return h
+
+
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row and its sum; rows beyond the range of floats are lowered by their maximum, in ``x`` too."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = e @ np.ones(x.shape[1], x.dtype)
+    if len(x) and not (total.min() > 1e-30 and total.max() < 1e30):
+        x -= x.max(1, keepdims=True)
+        e = np.exp(x)
+        total = e.sum(1)
+    return e, total
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the targets by class, the classes in that order, and where each class begins."""
+    cls = _CLASS[target]
+    order = np.argsort(cls, kind="stable")
+    return order, cls[order], np.searchsorted(cls[order], np.arange(CLASSES + 1))
 
 
-def _by_class(cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(_HEAD_CLASSES + 1))
-    return [(c, order[cut[c] : cut[c + 1]]) for c in range(_HEAD_CLASSES) if cut[c] < cut[c + 1]]
+def _chunks(a: int, b: int, rows: int = 1024):
+    """Ranges of few enough rows that their softmax stays in a core's cache."""
+    return ((x, min(x + rows, b)) for x in range(a, b, rows))
 
 
 def token_scores(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for head words, of P(word | class) of targets after states h."""
-    cls = np.where(target < HEAD, target // CLASS_WORDS, target - HEAD + _HEAD_CLASSES)
-    out = _log_softmax(h @ w["C"] + w["cb"])[np.arange(len(h)), cls]
-    for c, rows in _by_class(cls):
-        a, b = c * CLASS_WORDS, (c + 1) * CLASS_WORDS
-        out[rows] += _log_softmax(h[rows] @ w["O"][a:b].T + w["ob"][a:b])[np.arange(len(rows)), target[rows] - a]
-    return out
+    """Natural log of P(class) P(member | class) of targets after states ``h`` (tokens, units)."""
+    order, cls, cut = _by_class(target)
+    x, t, out = h[order], target[order], np.empty(len(h), np.float32)
+    for a, b in _chunks(0, len(x)):
+        y = x[a:b] @ w["C"] + w["cb"]
+        total = _exp_rows(y)[1]
+        out[a:b] = y[np.arange(b - a), cls[a:b]] - np.log(total)
+    for c in range(CLASSES):
+        o = slice(_BOUNDS[c], _BOUNDS[c + 1])
+        for a, b in _chunks(cut[c], cut[c + 1]):
+            y = x[a:b] @ w["O"][o].T + w["ob"][o]
+            total = _exp_rows(y)[1]
+            out[a:b] += y[np.arange(b - a), t[a:b] - o.start] - np.log(total)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def document_scores(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, rows: int = 32768) -> np.ndarray:
-    """Natural log-likelihood of every document's classes and head words."""
+    """Natural log-likelihood of every document's classes and their members."""
     sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
     begin, size = starts[:-1][order], sizes[order]
-    table_ = w["emb"] @ w["W"] + w["b"]
-    out, h, t = np.zeros(len(order)), np.zeros((len(order), HIDDEN), np.float32), 0
+    table_, U = np.ascontiguousarray((w["emb"] @ w["W"] + w["b"]).T), np.ascontiguousarray(w["U"].T)
+    out, h, t = np.zeros(len(order)), np.zeros((HIDDEN, len(order)), np.float32), 0
     rising = -size
     while t < (size[0] if len(size) else 0):
         active = int(np.searchsorted(rising, -t, "left"))
@@ -193,10 +235,11 @@ def document_scores(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.nda
             if not active:
                 break
             now = tokens[begin[:active] + t]
-            states.append(h[:active])
+            h = np.ascontiguousarray(h[:, :active])
+            states.append(h.T)
             targets.append(now)
             owners.append(np.arange(active))
-            h = step(table_[now], h[:active], w["U"])[0]
+            h = step(table_[:, now], h, U)
             t += 1
         got = token_scores(w, np.concatenate(states), np.concatenate(targets))
         out += np.bincount(np.concatenate(owners), got, len(out))
@@ -205,64 +248,99 @@ def document_scores(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.nda
     return final
 
 
+def _output_gradients(w: dict[str, np.ndarray], flat: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Gradients of the output layer, of the states (units + 1, tokens) before it, and the summed loss."""
+    d, tiny = HIDDEN, flat.dtype.type(1e-30)
+    order, cls, cut = _by_class(target)
+    x, member = np.ascontiguousarray(flat.T)[order], target[order] - _BOUNDS[cls]
+    C, back = np.vstack([w["C"], w["cb"]]), np.ascontiguousarray(w["C"].T)
+    O, words = w["O"], np.hstack([w["O"], w["ob"][:, None]])
+    gC, gO, dx, loss = np.zeros_like(C), np.zeros_like(words), np.empty((len(x), d), flat.dtype), 0.0
+    for a, b in _chunks(0, len(x)):
+        e, total = _exp_rows(x[a:b] @ C)
+        e *= np.reciprocal(total)[:, None]
+        at = np.arange(b - a), cls[a:b]
+        loss -= float(np.log(e[at] + tiny).sum())
+        e[at] -= 1
+        gC += x[a:b].T @ e
+        dx[a:b] = e @ back
+    for c in range(CLASSES):
+        o = slice(_BOUNDS[c], _BOUNDS[c + 1])
+        for a, b in _chunks(cut[c], cut[c + 1]):
+            e, total = _exp_rows(x[a:b] @ words[o].T)
+            e *= np.reciprocal(total)[:, None]
+            at = np.arange(b - a), member[a:b]
+            loss -= float(np.log(e[at] + tiny).sum())
+            e[at] -= 1
+            gO[o] += e.T @ x[a:b]
+            dx[a:b] += e @ O[o]
+    states = np.empty_like(dx)
+    states[order] = dx
+    return {"C": gC[:d], "cb": gC[d], "O": gO[:, :d], "ob": gO[:, d]}, states, loss
+
+
 def window_gradients(w: dict[str, np.ndarray], h: np.ndarray, last: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradients over a window of (steps, lanes) tokens, its last state, and its loss per token.
+    """Gradients over a window of (steps, lanes) tokens, its last state (lanes, units), and its loss per token.
 
     ``last`` are the tokens before the window; ``fresh`` marks tokens that begin a document.
     """
-    d, (steps, lanes) = HIDDEN, tokens.shape
-    table_ = w["emb"] @ w["W"] + w["b"]
-    given = np.vstack([last[None], tokens[:-1]])
-    kept, states = [], []
+    d, (steps, lanes), kind = HIDDEN, tokens.shape, w["U"].dtype
+    count, h = steps * lanes, np.ascontiguousarray(h.T)
+    table_, U = np.ascontiguousarray((w["emb"] @ w["W"] + w["b"]).T), np.ascontiguousarray(w["U"].T)
+    given = np.vstack([last[None], tokens[:-1]]).ravel()
+    gates = np.take(table_, given, axis=1).reshape(3 * d, steps, lanes)
+    old, n, u = (np.empty((d, steps, lanes), kind) for _ in range(3))
+    zr, flat = np.empty((2 * d, steps, lanes), kind), np.ones((d + 1, steps, lanes), kind)
+    keep, begins = (~fresh).astype(kind), fresh.any(1)
     for t in range(steps):
-        old = h
-        h, z, r, n, u = step(table_[given[t]], old, w["U"])
-        begin = fresh[t][:, None]
-        h = np.where(begin, np.float32(0), h)
-        kept.append((old, z, r, n, u, begin))
-        states.append(h)
-    flat, target, count = np.concatenate(states), tokens.ravel(), steps * lanes
-    cls = np.where(target < HEAD, target // CLASS_WORDS, target - HEAD + _HEAD_CLASSES)
-    p = _log_softmax(flat @ w["C"] + w["cb"])
-    loss = -float(p[np.arange(count), cls].sum())
-    p = np.exp(p)
-    p[np.arange(count), cls] -= 1
-    g = {"C": flat.T @ p, "cb": p.sum(0), "O": np.zeros_like(w["O"]), "ob": np.zeros_like(w["ob"])}
-    dflat = p @ w["C"].T
-    for c, rows in _by_class(cls):
-        a, b = c * CLASS_WORDS, (c + 1) * CLASS_WORDS
-        q, k = _log_softmax(flat[rows] @ w["O"][a:b].T + w["ob"][a:b]), target[rows] - a
-        loss -= float(q[np.arange(len(rows)), k].sum())
-        q = np.exp(q)
-        q[np.arange(len(rows)), k] -= 1
-        g["O"][a:b], g["ob"][a:b] = q.T @ flat[rows], q.sum(0)
-        dflat[rows] += q @ w["O"][a:b]
-    dstates = dflat.reshape(steps, lanes, d)
-    dh, dgates = np.zeros((lanes, d), np.float32), np.empty((steps, lanes, 3 * d), np.float32)
-    g["U"] = np.zeros_like(w["U"])
+        old[:, t] = h
+        zr[:, t], u[:, t], n[:, t] = _gated(U @ h, gates[:, t])
+        h = h - n[:, t]
+        h *= zr[:d, t]
+        h += n[:, t]
+        if begins[t]:
+            h *= keep[t]
+        flat[:d, t] = h
+    g, states, loss = _output_gradients(w, flat.reshape(d + 1, count), tokens.ravel())
+    dstates = np.ascontiguousarray(states.T).reshape(d, steps, lanes)
+    # what the state's gradient is multiplied by, for all steps at once
+    z, r = zr[:d], zr[d:]
+    to_n = 1 - z
+    to_z = (old - n) * z * to_n
+    to_n *= 1 - n * n
+    to_r = (1 - r) * r * u
+    dh, U = np.zeros((d, lanes), kind), w["U"]
+    du, dn = np.empty((3 * d, steps, lanes), kind), np.empty((d, steps, lanes), kind)
     for t in range(steps - 1, -1, -1):
-        old, z, r, n, u, begin = kept[t]
-        dh = np.where(begin, np.float32(0), dh + dstates[t])
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (old - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        dgates[t] = np.concatenate([dz, dr, dn], 1)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        g["U"] += old.T @ du
-        dh = dh * z + du @ w["U"].T
-    both = dgates.reshape(count, 3 * d)
-    rows = given.ravel()
-    dtable = np.zeros((HEAD + TAIL, 3 * d), np.float32)
-    used, place = np.unique(rows, return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    dtable[used] = np.add.reduceat(both[order], np.searchsorted(place[order], np.arange(len(used))))
+        dh = dh + dstates[:, t]
+        if begins[t]:
+            dh *= keep[t]
+        now, dn[:, t] = np.empty((3 * d, lanes), kind), dh * to_n[:, t]
+        np.multiply(dh, to_z[:, t], out=now[:d])
+        np.multiply(dn[:, t], to_r[:, t], out=now[d : 2 * d])
+        np.multiply(dn[:, t], r[:, t], out=now[2 * d :])
+        du[:, t] = now
+        dh *= z[:, t]
+        dh += U @ now
+    du = du.reshape(3 * d, count)
+    g["U"] = old.reshape(d, count) @ du.T
+    du[2 * d :] = dn.reshape(d, count)
+    order = np.argsort(given.astype(np.int16), kind="stable")
+    ranked = given[order]
+    cut = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    dtable = np.zeros((HEAD + TAIL, 3 * d), kind)
+    dtable[ranked[cut]] = np.add.reduceat(np.take(du, order, axis=1), cut, axis=1).T
     g["W"], g["b"], g["emb"] = w["emb"].T @ dtable, dtable.sum(0), dtable @ w["W"].T
-    return {k: (v / count).astype(np.float32) for k, v in g.items()}, states[-1], loss / count
+    return {k: (v / count).astype(kind) for k, v in g.items()}, h.T, loss / count
+
 
+def fit(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, rate: float, lanes: int = 512, steps: int = 8) -> dict[str, np.ndarray]:
+    """Weights after one pass over the documents, by truncated backpropagation with Adam.
 
-def fit(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, rate: float, lanes: int = 48, steps: int = 32) -> dict[str, np.ndarray]:
-    """Weights after one pass over the documents, by truncated backpropagation with Adam."""
-    lanes = max(1, min(lanes, len(tokens) // steps))
+    Few tokens make fewer lanes, so that there are some `UPDATES` updates at least.
+    """
+    f32 = np.float32
+    lanes = max(1, min(lanes, len(tokens) // (steps * UPDATES)))
     length = len(tokens) // lanes
     if not length:
         return w
@@ -273,18 +351,18 @@ def fit(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, rate:
     fresh[0] = True
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h, last = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
+    h, last = np.zeros((lanes, HIDDEN), f32), np.zeros(lanes, np.int64)
     for k, t in enumerate(range(0, length, steps), 1):
-        part = grid[t : t + steps]
+        part = np.ascontiguousarray(grid[t : t + steps])
         g, h, _ = window_gradients(w, h, last, part, fresh[t : t + steps])
         last = part[-1]
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / (size + 1e-9))
+        clip = f32(min(1.0, 1.0 / (size + 1e-9)))
         for name, d in g.items():
             d *= clip
-            m[name] += 0.1 * (d - m[name])
-            v[name] += 0.01 * (d * d - v[name])
-            w[name] -= (rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-5)).astype(np.float32)
+            m[name] += f32(0.1) * (d - m[name])
+            v[name] += f32(0.01) * (d * d - v[name])
+            w[name] -= f32(rate / (1 - 0.9**k)) * m[name] / (np.sqrt(v[name] * f32(1 / (1 - 0.99**k))) + f32(1e-5))
     return w
 
 
@@ -307,16 +385,15 @@ def _send_words(t: pa.Table, shards: int) -> pa.Table:
     train = np.repeat(~t.column("__held").to_numpy(), np.diff(words.starts))
     count = np.bincount(words.codes[train], minlength=len(words.hash))
     hashes, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-    count = np.bincount(place, count, len(hashes)).astype("<u4")
+    count = np.bincount(place, count, len(hashes)).astype("<u8")
     tail = words.tail[first]
     shard = (hashes % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    some = [p for p in range(shards) if cut[p] < cut[p + 1]]
-    parts = [order[cut[p] : cut[p + 1]] for p in some]
+    some, cut = np.unique(shard[order], return_index=True)
+    parts = np.split(order, cut[1:])
     number = t.column("__slice")[0].as_py()
     blob = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
-    return pa.table({"shard": pa.array(some, pa.int32()), "slice": pa.array([number] * len(some), pa.int32()), "hashes": blob(hashes.astype("<u8")), "tails": blob(tail), "counts": blob(count)})
+    return pa.table({"shard": pa.array(some, pa.int32()), "slice": pa.array(np.full(len(some), number), pa.int32()), "hashes": blob(hashes.astype("<u8")), "tails": blob(tail), "counts": blob(count)})
 
 
 def _add_up(t: pa.Table) -> pa.Table:
@@ -324,11 +401,14 @@ def _add_up(t: pa.Table) -> pa.Table:
     hashes = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
     sizes = [len(x) for x in hashes]
     distinct, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    count = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
+    sent = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u8").astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    count = np.add.reduceat(sent[order], np.searchsorted(place[order], np.arange(len(distinct))))
     tail = np.frombuffer(b"".join(t.column("tails").to_pylist()), np.uint8)[first]
-    back = np.split(count.astype("<u4")[place], np.cumsum(sizes)[:-1])
+    back = np.split(count.astype("<u8")[place], np.cumsum(sizes)[:-1])
     seen, word = count > 0, distinct != END
-    n, v = np.bincount(tail[word], count[word], TAIL), np.bincount(tail[word & seen], minlength=TAIL)
+    n, v = np.zeros(TAIL, np.int64), np.bincount(tail[word & seen], minlength=TAIL)
+    np.add.at(n, tail[word], count[word])
     top = np.argsort(-count, kind="stable")[:HEAD]
     top = top[count[top] > 0]
     k, shard = len(back), t.column("shard")[0].as_py()
@@ -341,7 +421,7 @@ def _add_up(t: pa.Table) -> pa.Table:
         "counts": (pa.binary(), [x.tobytes() for x in back] + none(TAIL + len(top) + 1)),
         "tail": (pa.int32(), none(k) + list(range(TAIL)) + tail[top].tolist() + [None]),
         "hash": (pa.int64(), none(k + TAIL) + distinct[top].view(np.int64).tolist() + [None]),
-        "n": (pa.int64(), none(k) + n.astype(np.int64).tolist() + count[top].tolist() + [ends]),
+        "n": (pa.int64(), none(k) + n.tolist() + count[top].tolist() + [ends]),
         "v": (pa.int64(), none(k) + v.tolist() + none(len(top)) + [int(ends > 0)]),
     }
     return pa.table({c: pa.array(x, kind) for c, (kind, x) in columns.items()})
@@ -376,7 +456,7 @@ def _score(t: pa.Table, counts: pa.Table, w: dict[str, np.ndarray], vocab: Vocab
     order = np.argsort((hashes % np.uint64(shards)).astype(np.int64), kind="stable")
     count = np.empty(len(hashes), np.int64)
     blobs = sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist()))
-    count[order] = np.frombuffer(b"".join(x for _, x in blobs), "<u4")
+    count[order] = np.frombuffer(b"".join(x for _, x in blobs), "<u8")
     count = count[place]
     inputs, tail = vocab.inputs(words.hash, words.tail), words.tail.astype(np.int64)
     within = np.where(inputs < HEAD, 0.0, np.log((count + 1) / (np.maximum(vocab.n + vocab.v, 0)[tail] + 1)))
@@ -386,24 +466,35 @@ def _score(t: pa.Table, counts: pa.Table, w: dict[str, np.ndarray], vocab: Vocab
     return pa.table({"__id": t.column("__id"), "held_out": t.column("__held"), "n_tokens": pa.array(np.diff(words.starts), pa.int64()), "n_known": pa.array(sums((count > 0).astype(np.int64)), pa.int64()), "base_score": pa.array(sums(base), pa.float64()), "score": pa.array(score, pa.float64())})
 
 
-def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    text = text_or_empty(text_col)
-    total = df.select(F.sum(F.octet_length(text))).first()[0] or 0
-    slices, shards = max(1, -(-total // SLICE_BYTES)), max(12, -(-total // SHARD_BYTES))
-    docs = df.select(F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int").alias("__slice"), F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), text.alias("__text"))
-    words = docs.groupBy("__slice").applyInArrow(lambda t: _send_words(t, shards), "shard int, slice int, hashes binary, tails binary, counts binary")
-    counted = materialize(words.groupBy("shard").applyInArrow(_add_up, "kind int, slice int, shard int, counts binary, tail int, hash long, n long, v long"), "counts")
-    classes = {r.tail: (r.n, r.v) for r in counted.where("kind = 1").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    head = [(r.hash, r.tail, r.n) for r in counted.where("kind = 2").orderBy(F.desc("n"), "hash").limit(HEAD).collect()]
-    ends = counted.where("kind = 3").agg(F.sum("n").alias("n"), F.max("v").alias("v")).first()
-    vocab = Vocabulary(sum(n for n, _ in classes.values()) + (ends.n or 0), sum(v for _, v in classes.values()) + (ends.v or 0), head, classes)
-    weights = first_weights(vocab)
-    trainers = max(1, -(-total // (SHARE * TRAINER_BYTES)))
-    chosen = docs.where(~F.col("__held") & (F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(SHARE)) == 0)).withColumn("__slice", F.pmod(F.xxhash64("__id", F.lit("trainer")), F.lit(trainers)).cast("int"))
-    kinds = "part int, tokens long, weights binary"
+def _dealt(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, int]:
+    """Every row with its ``__slice``, and the bytes of all texts.
+
+    A slice has texts of like length, since they are scored side by side, and
+    about `SLICE_BYTES`; its rows are dealt by id and text, so that rows without
+    an id spread as well.
+    """
+    kind = F.greatest(F.lit(LEAST_KIND), F.floor(F.log2(F.octet_length(text) + 1)).cast("int"))
+    sizes = {r.kind: r.n for r in df.groupBy(kind.alias("kind")).agg(F.sum(F.octet_length(text)).alias("n")).collect()}
+    first, number = 0, F.lit(0)
+    for k, n in sorted(sizes.items()):
+        slices = max(1, -(-n // SLICE_BYTES))
+        number = F.when(F.col("__kind") == k, F.pmod(F.xxhash64("__id", "__text"), F.lit(slices)) + first).otherwise(number)
+        first += slices
+    rows = df.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), text.alias("__text"), kind.alias("__kind"))
+    return rows.select(number.cast("int").alias("__slice"), "__id", "__held", "__text"), sum(sizes.values())
+
+
+def _by_hash(salt: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "__id", "__text"), F.lit(n)).cast("int")
+
+
+def learned(docs: DataFrame, total: int, vocab: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights after all training documents of ``docs``, each in one of `ROUNDS` rounds."""
+    weights, kinds = first_weights(vocab), "part int, tokens long, weights binary"
+    trainers = max(1, -(-total // (ROUNDS * TRAINER_BYTES)))
+    dealt = docs.where(~F.col("__held")).withColumn("__round", _by_hash("round", ROUNDS)).withColumn("__slice", _by_hash("trainer", trainers))
     for k in range(ROUNDS):
-        parts = chosen.groupBy("__slice").applyInArrow(_trainer(weights, vocab, 0.01 / (1 + 2 * k)), kinds)
+        parts = dealt.where(F.col("__round") == k).drop("__round").groupBy("__slice").applyInArrow(_trainer(weights, vocab, RATE / (1 + 2 * k)), kinds)
         left = trainers
         while left > 1:
             parts = materialize(parts, "weights").groupBy("part").applyInArrow(_average, kinds)
@@ -411,6 +502,20 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         got = parts.collect()
         if got:
             weights = pickle.loads(got[0].weights)
+    return weights
+
+
+def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    docs, total = _dealt(df, id_col, text_or_empty(text_col))
+    shards = max(12, -(-total // SHARD_BYTES))
+    words = docs.groupBy("__slice").applyInArrow(lambda t: _send_words(t, shards), "shard int, slice int, hashes binary, tails binary, counts binary")
+    counted = materialize(words.groupBy("shard").applyInArrow(_add_up, "kind int, slice int, shard int, counts binary, tail int, hash long, n long, v long"), "counts")
+    classes = {r.tail: (r.n, r.v) for r in counted.where("kind = 1").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    head = [(r.hash, r.tail, r.n) for r in counted.where("kind = 2").orderBy(F.desc("n"), "hash").limit(HEAD).collect()]
+    ends = counted.where("kind = 3").agg(F.sum("n").alias("n"), F.max("v").alias("v")).first()
+    vocab = Vocabulary(sum(n for n, _ in classes.values()) + (ends.n or 0), sum(v for _, v in classes.values()) + (ends.v or 0), head, classes)
+    weights = learned(docs, total, vocab)
     back = counted.where("kind = 0").select("slice", "shard", "counts")
     done = docs.groupBy("__slice").cogroup(back.groupBy("slice")).applyInArrow(lambda t, c: _score(t, c, weights, vocab, shards), f"__id {df.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("__id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lithoframe.llm import html_text as H
 from lithoframe.llm import language_model as M
@@ -85,7 +86,6 @@ def words_of(text):
 def test_base_scores_and_counts_equal_brute_force(spark, monkeypatch):
     rows = documents()
     monkeypatch.setattr(M, "SLICE_BYTES", 4000)
-    monkeypatch.setattr(M, "SHARE", 2)
     monkeypatch.setattr(M, "TRAINER_BYTES", 2000)
     got = {r.doc_id: r for r in M.score_documents(frame(spark, rows)).collect()}
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
@@ -140,10 +140,10 @@ def test_state_is_carried_over_windows():
     got = M.document_scores(w, tokens, starts, rows=16)
     table = w["emb"] @ w["W"] + w["b"]
     for k in range(len(sizes)):
-        h, total = np.zeros((1, M.HIDDEN), np.float32), 0.0
+        h, total = np.zeros((M.HIDDEN, 1), np.float32), 0.0
         for t in tokens[starts[k] : starts[k + 1]]:
-            total += M.token_scores(w, h, np.array([t]))[0]
-            h = M.step(table[[t]], h, w["U"])[0]
+            total += M.token_scores(w, h.T, np.array([t]))[0]
+            h = M.step(table[[t]].T, h, w["U"].T)
         assert abs(got[k] - total) < 1e-3 * abs(total)
 
 
@@ -156,6 +156,42 @@ def test_model_learns_order():
     assert after > before * 0.3
 
 
+def test_counts_beyond_32_bits():
+    blob = lambda kind, *x: np.array(x, kind).tobytes()
+    sent = [(0, blob("<u8", 5, 9), blob("u1", 1, 2), blob("<u8", 3 * 2**30, 1)), (1, blob("<u8", 5), blob("u1", 1), blob("<u8", 3 * 2**30))]
+    t = pa.table({"shard": pa.array([4, 4], pa.int32()), "slice": pa.array([x[0] for x in sent], pa.int32()), "hashes": [x[1] for x in sent], "tails": [x[2] for x in sent], "counts": [x[3] for x in sent]})
+    got = M._add_up(t).to_pylist()
+    back = {r["slice"]: np.frombuffer(r["counts"], "<u8").tolist() for r in got if r["kind"] == 0}
+    assert back == {0: [6 * 2**30, 1], 1: [6 * 2**30]}
+    assert {r["hash"]: r["n"] for r in got if r["kind"] == 2} == {5: 6 * 2**30, 9: 1}
+    assert {r["tail"]: (r["n"], r["v"]) for r in got if r["kind"] == 1 and r["v"]} == {1: (6 * 2**30, 1), 2: (1, 1)}
+
+
+def test_rows_without_an_id_spread_over_slices_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "SLICE_BYTES", 2000)
+    rows = [(None, f"words of text {i} " * 5) for i in range(300)]
+    docs, total = M._dealt(frame(spark, rows), "doc_id", F.col("text"))
+    per_slice = [r["count"] for r in docs.groupBy("__slice").count().collect()]
+    assert total == sum(len(t) for _, t in rows) and sum(per_slice) == 300 and max(per_slice) < 60
+    rounds = {r.r: r["count"] for r in docs.groupBy(M._by_hash("round", M.ROUNDS).alias("r")).count().collect()}
+    assert set(rounds) == set(range(M.ROUNDS)) and sum(rounds.values()) == 300 and min(rounds.values()) > 90
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    r = np.random.default_rng(5)
+    follow = [r.permutation(40)[:3] for _ in range(40)]
+
+    def text():
+        at, out = 0, []
+        for _ in range(60):
+            at = follow[at][r.integers(3)]
+            out.append(f"w{at}")
+        return " ".join(out)
+
+    got = M.score_documents(frame(spark, [(i, text()) for i in range(1500)])).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.3
+
+
 def test_words_of_arrow_equal_the_pattern():
     texts = [t or "" for _, t in documents()] + ["\x0b\x0c A\tB\r\nC  ", "ÄÖ Ü x"]
     got = M.Words(pa.array(texts))
