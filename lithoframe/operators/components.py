@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 from lithoframe.plans.scratch import materialize
 
 
+def _table(least: DataFrame) -> DataFrame:
+    """A table of its own: only then can a join split a large star's rows over tasks."""
+    return materialize(least, "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = _table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _table(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
