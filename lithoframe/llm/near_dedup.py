@@ -21,13 +21,15 @@ bounded, no link between components is lost and no group is emitted as pairs.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 repeated rows each give a row; null ids link but are never a component's id
-unless all its ids are null; an empty table gives an empty table; other input
-columns are ignored, whatever their names.
+unless all its ids are null; texts of any length are read whole; ties do not
+arise (of rows alike any stands for them); an empty table gives an empty table;
+other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,12 +41,17 @@ from pyspark.sql import functions as F
 from lithoframe.llm.common import ascii_lower, materialize, small_batches, table, text_or_empty, vote_columns, vote_names, voted_bits, words
 from lithoframe.operators.components import connected_components
 
-#: Members of a segment value up to which it is joined directly.
-LIGHT = 48
+#: Listings of a segment value up to which it is joined directly, and that many times the mean.
+LIGHT, LIGHT_MEAN = 48, 8
 #: Members of one block of a larger segment value.
 BLOCK = 4096
+#: A comparison's cost as a share of a listing's.
+MATCH_COST = 0.05
 #: MinHash bands of `similar_groups`, and least values in each.
 BANDS, BAND_ROWS = 28, 5
+#: Members of a band key up to which they are joined as pairs; members, and
+#: hashes of their sets, in one block of a larger one.
+FEW, BLOCK_SETS, BLOCK_HASHES = 8, 512, 2_000_000
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
@@ -61,9 +68,7 @@ def simhash_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     return votes.select(F.col("__id").alias(id_col), voted_bits(F.array(F.array(*vote_names())), F.col("__n")).alias("fp"))
 
 
-def segments(distinct: int, radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
-    """(shift, width, threshold) of each segment; every linked pair meets one threshold."""
-    count = max(2, min(radius + 1, int(bits / max(1.0, math.log2(max(distinct, 2))))))
+def _plan(count: int, radius: int, bits: int) -> list[tuple[int, int, int]]:
     out, shift = [], 0
     for i in range(count):
         width = (bits - shift) // (count - i)
@@ -72,6 +77,35 @@ def segments(distinct: int, radius: int, bits: int = 64) -> list[tuple[int, int,
     return [s for s in out if s[2] >= 0]
 
 
+def listings(plan: list[tuple[int, int, int]]) -> float:
+    """Mean number of segment values that a fingerprint is listed under or looks up."""
+    return sum(1 + (_ball(width, near) - 1) / 2 for _, width, near in plan)
+
+
+def _ball(width: int, near: int) -> int:
+    return sum(math.comb(width, r) for r in range(near + 1))
+
+
+def per_value(plan: list[tuple[int, int, int]], distinct: int) -> float:
+    """Mean number of listings of a segment value, in the fullest segment."""
+    return max(distinct * (1 + (_ball(width, near) - 1) / 2) / 2**width for _, width, near in plan)
+
+
+def segments(distinct: int, radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(shift, width, threshold) of each segment; every linked pair meets one threshold.
+
+    Their number makes least work for ``distinct`` fingerprints: a listing is
+    shuffled and sorted, a match of two of them only compared, at about
+    `MATCH_COST` of that.
+    """
+
+    def cost(plan: list[tuple[int, int, int]]) -> float:
+        matches = sum(distinct * (1 + (_ball(width, near) - 1) / 2) / 2**width for _, width, near in plan)
+        return listings(plan) + MATCH_COST * matches
+
+    return min((_plan(count, radius, bits) for count in range(min(2, radius + 1), radius + 2)), key=cost)
+
+
 def _entry(segment: int, key: Column, listed: bool) -> Column:
     return F.struct(F.lit(segment).alias("seg"), key.alias("key"), F.lit(listed).alias("listed"))
 
@@ -120,10 +154,12 @@ def links(distinct: DataFrame, radius: int = 4, plan: list[tuple[int, int, int]]
     All links of segment values with few members; a spanning forest of those of
     values with many.  Any ``plan`` of segments gives the same components.
     """
-    plan = plan or segments(distinct.count(), radius)
+    n = distinct.count()
+    plan = plan or segments(n, radius)
+    light_size = max(LIGHT, int(LIGHT_MEAN * per_value(plan, n)))
     rows = distinct.select("fp", F.explode(_keys(F.col("fp"), plan)).alias("k")).select("fp", "k.seg", "k.key", "k.listed")
     sizes = rows.groupBy("seg", "key").agg(F.count(F.when(F.col("listed"), 1)).alias("n0"), F.count("*").alias("n"))
-    heavy = materialize(sizes.where((F.col("n0") > 0) & (F.col("n") > LIGHT)).select("seg", "key", "n"), "heavy")
+    heavy = materialize(sizes.where((F.col("n0") > 0) & (F.col("n") > light_size)).select("seg", "key", "n"), "heavy")
     light = rows.join(heavy, ["seg", "key"], "left_anti")
     own, other = light.where("listed").alias("x"), light.alias("y")
     apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
@@ -135,31 +171,58 @@ def links(distinct: DataFrame, radius: int = 4, plan: list[tuple[int, int, int]]
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(found)
 
 
+def _named(nodes: DataFrame, links_: DataFrame) -> DataFrame:
+    """node, component_id (the smallest id of its component) and stands (whether it is the first node with that id) of ``nodes`` (node, least)."""
+    parts = connected_components(links_).select("node", F.col("component").alias("part"))
+    labelled = materialize(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "labelled")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "node")))
+    # a table of its own, so that the join can split a large component's rows
+    firsts = materialize(labelled.groupBy("part").agg(first.alias("first")), "firsts")
+    return labelled.join(firsts, "part").select("node", F.col("first.least").alias("component_id"), F.coalesce(F.col("first.node") == F.col("node"), F.lit(False)).alias("stands"))
+
+
+def _simhash_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """``id_col``, node (the fingerprint), component_id and stands of every row."""
+    prints = materialize(simhash_fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle).withColumnRenamed("fp", "node"), "prints")
+    distinct = materialize(prints.groupBy("node").agg(F.min(id_col).alias("least")), "distinct")
+    return prints.join(_named(distinct, links(distinct.select(F.col("node").alias("fp")), radius)), "node")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, fingerprint (hex) and component_id, the smallest id that links reach."""
-    prints = materialize(simhash_fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    parts = connected_components(links(distinct, radius)).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    labelled = distinct.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    named = labelled.join(labelled.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _keep_least(df: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
-    groups = materialize(grouped.select(id_col, "component_id"), "groups")
-    kept = df.join(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().hint("merge"), id_col, "left_semi").select(df.columns)
-    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
+    return _simhash_groups(df, id_col, text_col, shingle, radius).select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _keep_least(df: DataFrame, grouped: DataFrame, id_col: str, with_node: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``df`` that stand for their component in ``grouped``, one of each id and node; ``with_node`` adds ``__keep_node``."""
+    groups = grouped.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__keep_id"), F.col("node").alias("__of"), ((F.col(id_col) == F.col("component_id")) & F.col("stands")).alias("__stands"))
+    groups = materialize(groups, "groups")
+    often = materialize(groups.groupBy("__keep_id").count().where("count > 1").select("__keep_id"), "often")
+    chosen = groups.where("__stands").select("__keep_id", "__of").distinct()
+    same_id = F.col(id_col) == F.col("__keep_id")
+    kept = df.join(chosen.join(often, "__keep_id", "left_anti").select("__keep_id").hint("merge"), same_id, "left_semi").select(df.columns)
+    if often.limit(1).count():
+        rows = with_node(df.join(often.hint("merge"), same_id, "left_semi"))
+        rows = rows.join(chosen.hint("merge"), same_id & (F.col("__keep_node") == F.col("__of")), "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates([id_col, "__keep_node"]).select(df.columns))
     return kept.unionByName(df.where(F.col(id_col).isNull()))
 
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``df``, all columns, whose id is their component's; one row for each such id.
+    """The rows of ``df``, all columns, that stand for their component: one row, of its smallest id.
 
-    Rows with a null id cannot be told apart and all stay.  The ids to keep grow
-    with the table, so the join is a sort-merge join at every size.
+    Rows that share an id are told apart by their text, so each component keeps a
+    row of its own; of rows equal in id and text any one stays.  Rows with a null
+    id all stay.  The ids to keep grow with the table, so the join is a sort-merge
+    join at every size.
     """
-    return _keep_least(df, near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), id_col)
+
+    def with_node(rows: DataFrame) -> DataFrame:
+        numbered = materialize(rows.withColumn("__keep_row", F.monotonically_increasing_id()), "repeated")
+        prints = simhash_fingerprints(numbered, id_col="__keep_row", text_col=text_col, shingle=shingle).select("__keep_row", F.col("fp").alias("__keep_node"))
+        return numbered.join(prints, "__keep_row")
+
+    return _keep_least(df, _simhash_groups(df, id_col, text_col, shingle, radius), id_col, with_node)
 
 
 def _shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -168,8 +231,8 @@ def _shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return w.withColumn("__set", F.array_sort(F.array_distinct(shingle_hashes(F.col("__w"), shingle)))).withColumn("__key", F.xxhash64("__set")).drop("__w")
 
 
-def _band_keys(batches):
-    """`BANDS` keys of each shingle set: a hash of `BAND_ROWS` least values, each under its own multiplier."""
+def _band_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`BANDS` keys of each shingle set: a hash of `BAND_ROWS` least values, each under its own multiplier; none of an empty set."""
     r = np.random.default_rng(11)
     factors = r.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
     mixers = r.integers(0, 2**63, BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,7 +240,8 @@ def _band_keys(batches):
         sets = t.column("__set")
         bounds = sets.offsets.to_numpy().astype(np.int64)
         values = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        full = np.flatnonzero(np.diff(bounds) > 0)
+        sizes = np.diff(bounds)
+        full = np.flatnonzero(sizes > 0)
         keys = np.zeros((len(full), BANDS), np.uint64)
         if len(full):
             begin = bounds[full]
@@ -187,21 +251,95 @@ def _band_keys(batches):
                 least = np.minimum.reduceat(values * factor, begin)
                 keys[:, band] = (keys[:, band] ^ least ^ (least >> np.uint64(29))) * mixers[row]
             keys ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        flat = pa.array(keys.ravel().view(np.int64))
-        ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([t.column("__key").take(pa.array(full)), pa.ListArray.from_arrays(ends, flat)], ["key", "bands"])
+        ends = pa.array(np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([t.column("id"), t.column("__key"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], ["id", "key", "size", "bands"])
 
 
-def _similar(pairs: DataFrame, df: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of set keys whose exact Jaccard similarity is at least ``similarity``."""
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "asked")
-    sets = _shingle_sets(df.select(text_col), text_col, shingle).join(asked, "__key", "left_semi").groupBy("__key").agg(F.first("__set").alias("s"))
-    sets = materialize(sets, "sets")
-    x, y = sets.select(F.col("__key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__key").alias("b"), F.col("s").alias("sb"))
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of keys of ``sets`` whose exact Jaccard similarity is at least ``similarity``."""
+    x, y = sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _similar_forest(t: pa.Table, similarity: float, columns: int = 8192) -> pa.Table:
+    """A spanning forest of the links among a block pair's sets, from their exact common counts."""
+    t = t.combine_chunks().to_batches()[0]
+    keys, sets = t.column("key").to_numpy(), t.column("s")
+    bounds = sets.offsets.to_numpy().astype(np.int64)
+    values, size = sets.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], np.diff(bounds)
+    owner = np.repeat(np.arange(len(keys)), size)
+    distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times > 1
+    at = (np.cumsum(shared) - 1)[place]
+    inside = shared[place]
+    at, owner = at[inside], owner[inside]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(keys), len(keys)), np.float32)
+    for first in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(at, [first, first + columns])
+        x = np.zeros((len(keys), columns), np.float32)
+        x[owner[a:b], at[a:b] - first] = 1
+        common += x @ x.T
+    linked = common >= similarity * (size[:, None] + size[None] - common.astype(np.float64))
+    rest, out = np.ones(len(keys), bool), []
+    for start in range(len(keys)):
+        todo = [start] if rest[start] else []
+        rest[start] = False
+        while todo:
+            one = todo.pop()
+            near = np.flatnonzero(linked[one] & rest)
+            rest[near] = False
+            todo.extend(near)
+            out.extend((keys[k], keys[one]) for k in near)
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _apart(crowded: DataFrame, near: DataFrame) -> DataFrame:
+    """The members of band keys whose members are in more than one component so far, with their component."""
+    parts = connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    known = crowded.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    mixed = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("hashes")).where("lo <> hi")
+    return known.join(mixed.select("band", "n", "hashes"), "band")
+
+
+def _similar_links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join up all keys of ``rows`` (id, key, size, bands) whose sets are similar and share a band key."""
+    listed = rows.groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands")).select("key", "size", F.explode("bands").alias("band"))
+    listed = materialize(listed, "bands")
+    crowd = listed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "band")).alias("centre")).where("n > 1")
+    crowded = materialize(listed.join(crowd, "band").select("band", "key", "size", "n", "centre"), "crowded")
+    asked = materialize(crowded.groupBy("key").agg(F.max_by(F.col("centre"), F.struct("n", "band")).alias("centre")), "asked")
+    # sets again, only of documents that share a band key: one document a key
+    one = rows.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("__of")).where("__of is not null").select("__of").distinct()
+    some = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    some = some.join(one, F.col("__id") == F.col("__of"), "left_semi").unionByName(some.where(F.col("__id").isNull()))
+    sets = _shingle_sets(some, "__t", shingle).select(F.col("__key").alias("key"), F.col("__set").alias("s")).join(asked.select("key"), "key", "left_semi")
+    sets = materialize(sets.groupBy("key").agg(F.first("s").alias("s")), "sets")
+    # each key with the centre of its most crowded band key
+    stars = materialize(asked.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "stars")
+    near = materialize(_similar(stars, sets, similarity), "near")
+    apart = materialize(_apart(crowded.select("band", "key", "size"), near), "apart")
+    few = apart.where(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int")
+    dealt = apart.where(F.col("n") > FEW).withColumn("__b", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pairs = dealt.select("band", "key", F.least("__b", "__o").alias("lo"), F.greatest("__b", "__o").alias("hi")).join(sets, "key")
+    found = pairs.groupBy("band", "lo", "hi").applyInArrow(lambda t: _similar_forest(t.select(["key", "s"]), similarity), "a long, b long")
+    return near.unionByName(_similar(rest, sets, similarity)).unionByName(found)
+
+
+def _similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    sets = small_batches(_shingle_sets(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t", shingle).select("id", "__key", "__set"))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = materialize(sets.mapInArrow(_band_keys, f"id {kind}, key long, size int, bands array<long>"), "keys")
+    named = _named(rows.groupBy("key").agg(F.min("id").alias("least")).withColumnRenamed("key", "node"), _similar_links(df, rows, id_col, text_col, shingle, similarity))
+    return rows.select(F.col("id").alias(id_col), F.col("key").alias("node")).join(named, "node")
+
+
 def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col`` and component_id, the smallest id that links of Jaccard similarity ``similarity`` reach.
 
@@ -209,38 +347,24 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     in about 10 bits, and Hamming balls of such a radius have thousands of values
     a segment.  So candidates are pairs that share one of `BANDS` MinHash band
     keys (a pair of similarity 0.8 is missed with probability 2e-5), and each link
-    is verified on the exact sets.  First a band key's members are compared with
-    one of them, a different one in every band; then, in the components so found,
-    all members of a key that are still apart.  No
-    candidate is lost; but the second step emits pairs, and a large group whose
-    members link to few others makes many (1,737,673 on check_h).
+    is verified on the exact sets.  First every text is compared with one member
+    of its most crowded band key; then, where members of a band key are still in
+    different components, all of them: as pairs where they are few, else in
+    blocks whose tasks count common shingles as a matrix product and send a
+    spanning forest only.  No candidate is lost and no large group is emitted as
+    pairs.
     """
-    rows = materialize(_shingle_sets(df.select(id_col, text_col), text_col, shingle).select(F.col(id_col), "__key"), "keys")
-    sets = small_batches(_shingle_sets(df.select(text_col), text_col, shingle).select("__key", "__set"))
-    banded = sets.mapInArrow(_band_keys, "key long, bands array<long>")
-    listed = banded.select("key", F.explode("bands").alias("band")).distinct()
-    listed = materialize(listed, "bands")
-    crowd = listed.groupBy("band").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "band")).alias("centre")).where("n > 1")
-    crowded = materialize(listed.join(crowd, "band").select("band", "key", "centre"), "crowded")
-    stars = materialize(crowded.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "stars")
-    near = materialize(_similar(stars, df, text_col, shingle, similarity), "near")
-    parts = connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    apart = crowded.select("band", "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    mixed = apart.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band")
-    apart = materialize(apart.join(mixed, "band", "left_semi"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    links_ = near.unionByName(_similar(rest, df, text_col, shingle, similarity))
-    whole = connected_components(links_).select(F.col("node").alias("__key"), F.col("component").alias("part"))
-    least = materialize(rows.groupBy("__key").agg(F.min(id_col).alias("least")).join(whole, "__key", "left").withColumn("part", F.coalesce("part", "__key")), "least")
-    named = least.join(least.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("__key", "component_id")
-    return rows.join(named, "__key").select(id_col, "component_id")
+    return _similar_groups(df, id_col, text_col, shingle, similarity).select(id_col, "component_id")
 
 
 def keep_one_of_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As `keep_one_of_each`, with the groups of `similar_groups`."""
-    return _keep_least(df, similar_groups(df, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity), id_col)
+    """As `keep_one_of_each`, with the groups of `similar_groups`; rows of one id are told apart by their shingle sets."""
+
+    def with_node(rows: DataFrame) -> DataFrame:
+        keyed = _shingle_sets(rows.select("*", F.col(text_col).alias("__keep_text")), "__keep_text", shingle)
+        return keyed.withColumn("__keep_node", F.col("__key"))
+
+    return _keep_least(df, _similar_groups(df, id_col, text_col, shingle, similarity), id_col, with_node)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,29 @@ def test_edges_of_similar_groups(spark):
     assert sorted(str(r.doc_id) for r in N.keep_one_of_similar(frames["null_id"]).collect()) == ["1", "2", "None"]
     assert sorted(r.doc_id for r in N.keep_one_of_similar(frames["repeated"]).collect()) == [1, 2]
     assert N.keep_one_of_similar(frames["clash"]).columns == frames["clash"].columns
+
+
+def test_a_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    """Copies of one text with so many edits that most are similar to few others."""
+    r = random.Random(9)
+    base = sentence(r, 200).split(" ")
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(200), r.randrange(1, 7)):
+            w[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(w)))
+    want = similar(rows)
+    for few, sets, hashes in ((2, 20, 2_000_000), (2, 512, 5_000)):
+        monkeypatch.setattr(N, "FEW", few)
+        monkeypatch.setattr(N, "BLOCK_SETS", sets)
+        monkeypatch.setattr(N, "BLOCK_HASHES", hashes)
+        assert {r.doc_id: r.component_id for r in N.similar_groups(frame(spark, rows)).collect()} == want
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    a, b = "one text of some words to keep", "quite another text with other words in it"
+    rows = [(7, a), (7, b), (7, a), (8, "the third text here has its own words too"), (9, b), (3, a), (7, "")]
+    for keep in (N.keep_one_of_similar, N.keep_one_of_each):
+        kept = sorted(tuple(r) for r in keep(frame(spark, rows)).collect())
+        assert kept == sorted([(3, a), (7, b), (7, ""), (8, rows[3][1])]), keep
