@@ -4,19 +4,21 @@ A test item of m characters may occur in a document with up to e = rate * m
 edits.  The item is split into e + 1 pieces; whatever the e edits hit, one
 piece is left whole, so every occurrence holds an exact piece hit.  One
 Aho-Corasick automaton finds the hits of all items' pieces in one pass over a
-whole text; the text around each hit is then verified by Myers' bit-parallel
-distance (insertions, deletions and substitutions, free ends in the text).  So
-no occurrence within the budget is missed and none beyond it reported.
+whole text.  An edit breaks three of an item's trigrams at most, so text around a
+hit that lacks more than 3 e of them is left; the rest is verified by Myers'
+bit-parallel distance (insertions, deletions and substitutions, free ends in the
+text).  So no occurrence within the budget is missed and none beyond it reported.
 
-Items and texts are compared in lower case with every white-space character as
-a space, both without changing lengths, so positions are those of the text.
-Pieces have at least ``min_piece`` characters, which bounds e for short items.
+Items and texts are compared in lower case, with a run of white space as one
+space; positions are those of the text.  Pieces have at least ``min_piece``
+characters, which bounds e for short items.
 
 The items are the stated query set.  They go to the executors in blocks of at
 most `BLOCK_CHARS` characters, one pass over the documents for each block, so
 what is sent has a fixed bound however many items there are.
 
-Edge cases: null texts and items are empty; an empty item matches nothing;
+Edge cases: null texts and items are empty; an item without words matches nothing;
+an item without an id reports a null one; texts of any length are searched whole;
 items with equal text each report; repeated rows each report; a document can
 match several items and then has one row for each, with its first best match;
 empty tables give an empty table; other input columns are ignored.
@@ -24,6 +26,7 @@ empty tables give an empty table; other input columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -38,9 +41,10 @@ from lithoframe.llm.common import small_batches, table, text_or_empty
 
 BLOCK_CHARS = 4_000_000
 #: Share of an item's characters that may be edited, and the least length of a piece.
-RATE, MIN_PIECE = 0.08, 11
+RATE, MIN_PIECE = 0.1, 9
 
 _SPACE = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0]")
+_RUN = re.compile(r" {2,}")
 
 
 def normal_form(text: str) -> str:
@@ -51,6 +55,21 @@ def normal_form(text: str) -> str:
     return _SPACE.sub(" ", low)
 
 
+def single_spaced(low: str) -> tuple[str, list[tuple[int, int]]]:
+    """A normal form with runs of spaces as one, and (place, characters left out before it) after every run."""
+    if "  " not in low:
+        return low, []
+    skipped, gone = [], 0
+    for m in _RUN.finditer(low):
+        gone += m.end() - m.start() - 1
+        skipped.append((m.end() - gone, gone))
+    return _RUN.sub(" ", low), skipped
+
+
+def trigrams(text: str) -> set[str]:
+    return {text[k : k + 3] for k in range(len(text) - 2)}
+
+
 def budget(m: int, rate: float, min_piece: int) -> int:
     return max(0, min(int(rate * m), m // min_piece - 1))
 
@@ -94,11 +113,12 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """Items of one block, ready to be searched for."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float, min_piece: int):
-        self.items = [(i, normal_form(t)) for i, t in items if t]
+    def __init__(self, items: tuple[tuple[int | None, str], ...], rate: float, min_piece: int):
+        self.items = [(i, low) for i, t in items if (low := single_spaced(normal_form(t))[0].strip())]
         self.errors = [budget(len(t), rate, min_piece) for _, t in self.items]
         self.masks = [bit_masks(t) for _, t in self.items]
         self.back = [bit_masks(t[::-1]) for _, t in self.items]
+        self.grams = [trigrams(t) for _, t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
             for at, piece in pieces(t, self.errors[k]):
@@ -110,11 +130,11 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(places)
 
-    def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
+    def __call__(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item, distance, start, end) of the first best match of every matching item."""
         if not self.any or not text:
             return []
-        low = normal_form(text)
+        low, skipped = single_spaced(normal_form(text))
         windows: dict[int, list[list[int]]] = {}
         for last, where in self.automaton.iter(low):
             for k, ends in where:
@@ -132,27 +152,39 @@ class Matcher:
             m, best = len(pattern), None
             for a, b in own:
                 part = low[a:b]
-                d, end = (0, part.index(pattern) + m) if pattern in part else myers(self.masks[k], m, part)
+                if pattern in part:
+                    d, end = 0, part.index(pattern) + m
+                elif len(self.grams[k] - trigrams(part)) > 3 * e:
+                    continue
+                else:
+                    d, end = myers(self.masks[k], m, part)
                 if d <= e and (best is None or d < best[0]):
                     back = myers(self.back[k], m, part[max(0, end - m - e) : end][::-1])[1]
                     best = (d, a + end - back, a + end)
             if best is not None:
-                out.append((item, *best))
+                d, start, end = best
+                out.append((item, d, self._place(start, skipped), self._place(end - 1, skipped) + 1))
         return out
 
+    @staticmethod
+    def _place(at: int, skipped: list[tuple[int, int]]) -> int:
+        """Where the character ``at`` of the single-spaced text stands in the text."""
+        k = bisect.bisect_right(skipped, at, key=lambda x: x[0])
+        return at + (skipped[k - 1][1] if k else 0)
+
 
 @functools.lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float, min_piece: int) -> Matcher:
+def _matcher(items: tuple[tuple[int | None, str], ...], rate: float, min_piece: int) -> Matcher:
     return Matcher(items, rate, min_piece)
 
 
-def _blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[tuple[int, str], ...]]:
+def _blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[tuple[int | None, str], ...]]:
     """The items in blocks of about BLOCK_CHARS characters; at least one block."""
     total = items.select(F.sum(F.length(text_or_empty(item_text_col)))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
     keyed = items.select(F.col(item_col).cast("long").alias("i"), text_or_empty(item_text_col).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     for block in range(blocks):
-        yield tuple(sorted((-1 if r.i is None else r.i, r.t) for r in keyed.where(F.col("b") == block).select("i", "t").collect()))
+        yield tuple(sorted(((r.i, r.t) for r in keyed.where(F.col("b") == block).select("i", "t").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
 
 
 def find_leaks(
