@@ -17,7 +17,7 @@ bytes; as every window ends inside its phrase, this suffix array and the parse's
 least document of each phrase already give the corpus order down to that depth.
 (The parse's own suffix array would only order what lies beyond it.)
 
-Distribution.  Documents are dealt by a hash of their id into slices of about
+Distribution.  Documents are dealt by a hash of id and text into slices of about
 `SLICE_BYTES`; one exchange of the texts serves all three passes over them.
 A pass sends only what other slices must know:
 
@@ -29,12 +29,13 @@ A pass sends only what other slices must know:
 
 A trigger, passage or group of copies that a third of all documents share is
 sent once per slice and not once per document.  Triggers found in more than
-`HOT_SLICES` slices send their windows one by one, sharded by their own bytes,
+``hot_slices`` slices send their windows one by one, sharded by their own bytes,
 so no shard gathers all contexts of a frequent string.  Hash collisions only
 let a unique phrase through to the exact comparison.
 
-Edge cases: null text is empty; a text shorter than ``length`` keeps all bytes;
-rows with equal ids do not remove each other's bytes; a null id counts as larger
+Edge cases: null text is empty; a text shorter than ``length`` keeps all bytes; a
+very long text is read whole, in tiles of a megabyte, by the task of its slice;
+rows with equal ids do not remove each other's bytes (so ties and repeated rows stay); a null id counts as larger
 than every id, so such rows lose bytes but take none; an empty table gives an
 empty table; other input columns pass only if asked for.
 """
@@ -178,23 +179,20 @@ def _send_triggers(t: pa.Table, length: int, gram: int, shards: int) -> pa.Table
     np.minimum.at(low, place, s.doc)
     np.maximum.at(high, place, s.doc)
     shard, flags = (keys >> np.uint64(32)).astype(np.int64), (low < high).astype(np.uint8)
-    cut = np.searchsorted(shard, np.arange(shards + 1))
-    some = [p for p in range(shards) if cut[p] < cut[p + 1]]
-    rest = keys.astype("<u4")
-    number = _column(t, "__slice")[0]
-    return pa.table(
-        {"shard": pa.array(some, pa.int32()), "slice": pa.array([number] * len(some), pa.int32()), "keys": pa.array([rest[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), "flags": pa.array([flags[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())}
-    )
+    some, first = np.unique(shard, return_index=True)
+    blobs = lambda x: pa.array([part.tobytes() for part in np.split(x, first[1:])][: len(some)], pa.binary())
+    number = np.full(len(some), _column(t, "__slice")[0])
+    return pa.table({"shard": pa.array(some, pa.int32()), "slice": pa.array(number, pa.int32()), "keys": blobs(keys.astype("<u4")), "flags": blobs(flags)})
 
 
-def _judge_triggers(t: pa.Table) -> pa.Table:
+def _judge_triggers(t: pa.Table, hot_slices: int) -> pa.Table:
     """A shard's triggers: bit 0 if two documents have it, bit 1 if very many slices do."""
     keys = [np.frombuffer(x, "<u4") for x in _column(t, "keys")]
     flags = np.concatenate([np.frombuffer(x, np.uint8) for x in _column(t, "flags")])
     distinct, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     several = np.zeros(len(distinct), bool)
     several[place[flags > 0]] = True
-    state = ((several | (times > 1)) + 2 * (times > HOT_SLICES)).astype(np.uint8)[place]
+    state = ((several | (times > 1)) + 2 * (times > hot_slices)).astype(np.uint8)[place]
     parts = np.split(state, np.cumsum([len(x) for x in keys])[:-1])
     return pa.table({"slice": t.column("slice"), "shard": t.column("shard"), "kind": pa.array([0] * len(parts), pa.int32()), "blob": pa.array([x.tobytes() for x in parts], pa.binary())})
 
@@ -306,7 +304,7 @@ def _remove_bytes(t: pa.Table, known: pa.Table, length: int, gram: int, shards:
     return pa.table(done)
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, with_kept: bool = False, carry: tuple[str, ...] = (), hot_slices: int = HOT_SLICES) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row; ``kept`` and ``__carried`` (a struct of ``carry``) if asked for.
 
     ``kept`` is the text of the remaining bytes, without characters that lost some of their bytes.
@@ -317,10 +315,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     total = df.select(F.sum(F.octet_length(text))).first()[0] or 0
     slices, shards = max(1, -(-total // SLICE_BYTES)), max(12, -(-total // SHARD_BYTES))
     held = [f"__c{k}" for k in range(len(carry))]
-    docs = df.select(F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int").alias("__slice"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), *[F.col(c).alias(h) for c, h in zip(carry, held)])
+    docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slices)).cast("int").alias("__slice"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), *[F.col(c).alias(h) for c, h in zip(carry, held)])
     answer = "slice int, shard int, kind int, blob binary"
     triggers = docs.groupBy("__slice").applyInArrow(lambda t: _send_triggers(t, length, gram, shards), "shard int, slice int, keys binary, flags binary")
-    judged = triggers.groupBy("shard").applyInArrow(_judge_triggers, answer)
+    judged = triggers.groupBy("shard").applyInArrow(lambda t: _judge_triggers(t, hot_slices), answer)
     phrases = docs.groupBy("__slice").cogroup(judged.groupBy("slice")).applyInArrow(lambda t, k: _send_phrases(t, k, length, gram, shards), "shard int, slice int, least binary, sizes binary, data binary")
     marked = phrases.groupBy("shard").applyInArrow(lambda t: _mark_windows(t, length), answer)
     schema = "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_kept + "".join(f", {h} {docs.schema[h].dataType.simpleString()}" for h in held)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lithoframe.llm import fingerprints as G
@@ -51,6 +52,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {rows[c][0] for c in of}
 
 
+def test_segments_stay_cheap():
+    for power in range(1, 9):
+        plan = N.segments(10**power, 4)
+        assert sum(near + 1 for _, _, near in plan) == 5 and sum(width for _, width, _ in plan) <= 64
+        assert N.listings(plan) < 40
+    # beyond some 5 * 10**8, looking up more values is cheaper than comparing crowded ones
+    assert N.listings(N.segments(10**10, 4)) < 300
+
+
 def test_every_segment_plan_gives_the_same_components(spark, monkeypatch):
     r = random.Random(1)
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
@@ -99,10 +109,27 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     for slice_bytes, hot in ((3_000_000, 1024), (4_000, 1024), (4_000, 2)):
         monkeypatch.setattr(S, "SLICE_BYTES", slice_bytes)
         monkeypatch.setattr(S, "SHARD_BYTES", slice_bytes)
-        got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(frame(spark, rows)).collect()}
+        got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(frame(spark, rows), hot_slices=hot).collect()}
         assert got == removed(rows)
 
 
+def test_triggers_of_many_slices_are_hot():
+    blob = lambda kind, *x: np.array(x, kind).tobytes()
+    t = pa.table({"slice": pa.array([0, 1, 2], pa.int32()), "shard": pa.array([0] * 3, pa.int32()), "keys": [blob("<u4", 5, 6), blob("<u4", 5), blob("<u4", 5, 7)], "flags": [blob("u1", 0, 1), blob("u1", 0), blob("u1", 0, 0)]})
+    state = lambda hot: [list(x) for x in S._judge_triggers(t, hot).column("blob").to_pylist()]
+    assert state(2) == [[3, 1], [3], [3, 0]]
+    assert state(3) == [[1, 1], [1], [1, 0]]
+
+
+def test_rows_without_an_id_spread(spark, monkeypatch):
+    """Their texts go to many slices, lose bytes to every id and take none from each other."""
+    monkeypatch.setattr(S, "SLICE_BYTES", 1000)
+    passage = "".join(chr(97 + k * 7 % 26) for k in range(60))
+    rows = [(None, f"{k:04d} " + passage) for k in range(200)] + [(5, passage)]
+    got = S.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.n_removed, r.n_spans) for r in got) == [(False, 0, 0)] + [(True, 60, 1)] * 200
+
+
 def test_phrases_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(S, "_TILE", 1 << 12)
     S._powers.cache_clear()
