@@ -1,25 +1,27 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read tag by tag into blocks, the runs of text between block-level
-tags.  Blocks of scripts, styles, forms and the like, of elements that are
-navigation, headers, footers or asides by tag or role, and of elements whose
-class or id names a menu, notice, advert, comment section or similar are
-boilerplate from the start.  The first pass decides the other blocks from their
-length, their share of stop words and their share of link text; short blocks
-without a verdict stay ambiguous.  The second pass gives each ambiguous block
-the label of the nearest decided neighbour, with the article's own blocks as the
-neighbours of blocks in an article; content wins a tie, and boilerplate by
-markup counts as two blocks further away than it is.
-
-Inside an article or main element everything that is not link text is content
-unless its surroundings say otherwise; elsewhere a block needs stop words and
+tags; scripts, styles and other elements without text of their own have none.
+The first pass decides a block from its share of link text, its share of stop
+words and its length.  Markup is a feature that can only speak against a block:
+one without a verdict, or with the verdict content, is boilerplate if it stands
+in navigation, headers, footers, asides or forms by tag or role, in an element
+whose class or id names a menu, notice, advert, comment section or similar, or
+outside of the page's article.  What is then still open, short blocks and blocks
+with few stop words, gets the label of its nearest decided neighbour in the second
+pass, in an article that of the article's own; content wins a tie, and boilerplate
+by markup counts as two blocks further away than it is.
+
+Inside an article or main element a block needs stop words or length, and a list
+of links follows its neighbours; elsewhere a block needs stop words and
 length.  Character references are decoded once, white space in a block becomes
 one space, blocks are joined in page order by one space, and nothing is capped.
 
 Edge cases: null html is empty and gives an empty text; unclosed, crossed and
 missing tags are closed where HTML closes them; an unclosed comment or script
 runs to the end; a page without decided content gives an empty text; repeated
-rows each give a row; other input columns are ignored.
+rows each give a row; ties go to content; very long pages are read whole; an empty
+table gives an empty table; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -187,53 +189,67 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
-def _decide(text: str, linked: int, article: int) -> bool | None:
-    """First pass: content, boilerplate, or neither yet."""
-    share = linked / len(text)
+def _decide(text: str, linked: int, article: int) -> tuple[bool | None, str]:
+    """First pass: content, boilerplate or neither yet, and what said so."""
+    share, stops = linked / len(text), stop_share(text)
     if share > LINKED:
-        return None if article and len(text) < SHORT and share < 1 else False
-    if article:
-        return True if len(text) >= SHORT or stop_share(text) >= MANY_STOPS else None
-    stops = stop_share(text)
+        return (None, "") if article and (len(text) >= SHORT or share < 1) else (False, "links")
+    if stops >= MANY_STOPS and (article or len(text) >= LONG) and (article or share <= 0.2):
+        return True, "stop words"
     if len(text) < SHORT:
-        return None
-    if stops >= MANY_STOPS and len(text) >= LONG:
-        return True
+        return None, ""
+    if article:
+        return (True, "stop words") if stops >= FEW_STOPS else (None, "")
     if stops < FEW_STOPS:
-        return False
-    return None if share > 0.2 else True if stops >= MANY_STOPS else None
+        return False, "stop words"
+    return (True, "stop words") if share <= 0.2 and stops >= MANY_STOPS else (None, "")
+
+
+def _by_neighbours(labels: list[bool | None], articles: list[int], weak: list[bool]) -> list[bool]:
+    """Second pass: every label, with those still open taken from the nearest decided neighbour.
+
+    A block in an article looks at its article's blocks that are not ``weak``
+    only, and is content without one; elsewhere a weak one counts as two blocks
+    further away.
+    """
+    n = len(labels)
+    nearest: list[list[tuple[int, bool] | None]] = [[None] * n, [None] * n]
+    for side, order in zip(nearest, (range(n), range(n - 1, -1, -1))):
+        last: int | None = None
+        for k in order:
+            if last is not None and (not articles[k] or articles[last] == articles[k]):
+                side[k] = (abs(k - last) + 2 * weak[last], bool(labels[last]))
+            if labels[k] is not None and not (articles[k] and weak[k]):
+                last = k
+    out = []
+    for label, article, p, q in zip(labels, articles, *nearest):
+        if label is None:
+            if p is None and q is None:
+                label = bool(article)
+            elif p is None or q is None or p[1] == q[1]:
+                label = (p or q)[1]
+            else:
+                label = True if p[0] == q[0] else (p if p[0] < q[0] else q)[1]
+        out.append(label)
+    return out
+
+
+def labelled_blocks(page: str) -> list[tuple[str, bool, str]]:
+    """(text, whether it is content, what decided: links, stop words, markup or neighbours) of every block."""
+    found = blocks(page)
+    anchored = any(article and not bad for _, _, article, bad in found)
+    first = [_decide(text, linked, article) for text, linked, article, _ in found]
+    for k, (_, _, article, bad) in enumerate(found):
+        if first[k][0] is not False and (bad or anchored and not article):
+            first[k] = False, "markup"
+    weak = [bad or bool(article) and label is False for (_, _, article, bad), (label, _) in zip(found, first)]
+    final = _by_neighbours([label for label, _ in first], [article for _, _, article, _ in found], weak)
+    return [(text, keep, by or "neighbours") for (text, *_), keep, (_, by) in zip(found, final, first)]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page as plain text."""
-    found = blocks(page or "")
-    anchored = any(article and not bad for _, _, article, bad in found)
-    labels: list[bool | None] = [False if bad or anchored and not article else _decide(text, linked, article) for text, linked, article, bad in found]
-    final = list(labels)
-    n = len(found)
-    before: list[tuple[int, bool] | None] = [None] * n
-    after: list[tuple[int, bool] | None] = [None] * n
-    for nearest, order, step in ((before, range(n), 1), (after, range(n - 1, -1, -1), -1)):
-        last: tuple[int, bool, int] | None = None
-        for k in order:
-            article = found[k][2]
-            if last is not None and (not article or last[2] == article):
-                nearest[k] = (abs(k - last[0]) + 2 * found[last[0]][3], last[1])
-            if labels[k] is not None and not (article and found[k][3]):
-                last = (k, labels[k], article)
-    for k in range(n):
-        if labels[k] is not None:
-            continue
-        p, q, article = before[k], after[k], found[k][2]
-        if p is None and q is None:
-            final[k] = bool(article)
-        elif p is None or q is None or p[1] == q[1]:
-            final[k] = (p or q)[1]
-        elif p[0] != q[0]:
-            final[k] = (p if p[0] < q[0] else q)[1]
-        else:
-            final[k] = True
-    return " ".join(text for (text, *_), keep in zip(found, final) if keep)
+    return " ".join(text for text, keep, _ in labelled_blocks(page or "") if keep)
 
 
 def extract_text(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
