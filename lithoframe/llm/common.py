@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.plans.scratch import materialize
 
-__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "materialize", "small_batches", "table", "text_or_empty", "vote_columns", "vote_names", "voted_bits", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "collector_paused", "materialize", "small_batches", "table", "text_or_empty", "vote_columns", "vote_names", "voted_bits", "words"]
 
 #: ASCII capitals and their lower-case forms, for translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,5 +80,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No cyclic collection inside: for tasks whose large memory holds no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

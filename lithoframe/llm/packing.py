@@ -13,15 +13,15 @@ that length go to which sequences and offsets; every piece then finds its place
 from its own rank.  No task ever holds a group: a length with many pieces is
 ranked in buckets of about `BUCKET_ROWS`, and bucket starts are running sums.
 
-Edge cases: a null or empty text is its end id alone; repeated rows are packed
-each for itself; an empty table gives an empty table; other input columns are
+Edge cases: a null or empty text is its end id alone; a very long one is encoded
+whole and cut; repeated rows are packed each for itself; pieces of equal length
+take their places in order of id and piece; an empty table gives an empty table; other input columns are
 ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from lithoframe.llm.common import materialize, small_batches, table
+from lithoframe.llm.common import collector_paused, materialize, small_batches, table
 
 #: Pieces of one length that are ranked together.
 BUCKET_ROWS = 512
@@ -131,11 +131,7 @@ class WordEncoder:
 
 @functools.cache
 def _encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a Python worker.
-
-    Its memory holds no cycles, so its objects are kept from the cyclic collector.
-    """
-    gc.disable()
+    """One encoder for all tasks of a Python worker."""
     return WordEncoder(path)
 
 
@@ -150,25 +146,26 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                ids, bounds = encode(batch.column(1).slice(first, 1024))
-                data, bounds = ids.tobytes(), (4 * bounds).tolist()
-                row, piece, length, crc, kept = [], [], [], [], []
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    one = data[a:b] + end
-                    for p, at in enumerate(range(0, len(one), step)):
-                        cut = one[at : at + step]
-                        row.append(first + k)
-                        piece.append(p)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                        if with_ids:
-                            kept.append(np.frombuffer(cut, "<i4"))
-                out = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                if with_ids:
-                    out.append(pa.array(kept, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        with collector_paused():
+            for batch in batches:
+                for first in range(0, batch.num_rows, 1024):
+                    ids, bounds = encode(batch.column(1).slice(first, 1024))
+                    data, bounds = ids.tobytes(), (4 * bounds).tolist()
+                    row, piece, length, crc, kept = [], [], [], [], []
+                    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                        one = data[a:b] + end
+                        for p, at in enumerate(range(0, len(one), step)):
+                            cut = one[at : at + step]
+                            row.append(first + k)
+                            piece.append(p)
+                            length.append(len(cut) // 4)
+                            crc.append(zlib.crc32(cut))
+                            if with_ids:
+                                kept.append(np.frombuffer(cut, "<i4"))
+                    out = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        out.append(pa.array(kept, pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return small_batches(rows).mapInArrow(run, schema)
 

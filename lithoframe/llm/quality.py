@@ -14,7 +14,9 @@ ones are left out of the sample and not cut.
 
 Edge cases: null and empty texts are scored like any other (as one empty chunk);
 null labels are not learned from; without labels of both kinds every score is
-the share of label 1 (0.5 without labels); repeated rows get equal scores; a
+the share of label 1 (0.5 without labels); repeated rows get equal scores, and of
+texts that share an id the least in order is learned from; very long texts are
+scored whole; the sample is the labelled ids of least hash, so there are no ties; a
 null id is never learned from and not held out; other input columns are never
 inputs of a score.
 """
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = labels.where((fold(id_col, folds) != held_out) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).where(F.octet_length("__text") <= TRAIN_BYTES)
     sample = chosen.orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_ROWS)
-    rows = texts.join(F.broadcast(sample), "__id").dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_ROWS).collect()
+    rows = texts.join(F.broadcast(sample), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_ROWS).collect()
     y = np.array([r["__y"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5

@@ -12,14 +12,13 @@ The splitting pattern is trusted only for texts made of characters on which the
 text, and any text with a special token's string, goes whole to the library.
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens); repeated rows each
-give a row; an empty table gives an empty table; input columns other than the
+give a row; a very long text is counted whole; there are no ties; an empty table gives an empty table; input columns other than the
 id and text columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from lithoframe.llm.common import small_batches, table
+from lithoframe.llm.common import collector_paused, small_batches, table
 
 #: Characters outside this set send a text to the library as a whole.
 _PLAIN = regex.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]")
@@ -107,11 +106,7 @@ class PretokenCounter:
 
 @functools.cache
 def _counter(path: str, pattern: str | None, specials: tuple[str, ...]) -> PretokenCounter:
-    """One counter for all tasks of a Python worker.
-
-    Its memory holds no cycles, so its objects are kept from the cyclic collector.
-    """
-    gc.disable()
+    """One counter for all tasks of a Python worker."""
     return PretokenCounter(path, pattern, prove_whole_tokens(path) if pattern else frozenset(), specials)
 
 
@@ -148,18 +143,19 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer_path, pattern, specials)
-        for batch in batches:
-            texts = batch.column(1)
-            for start in range(0, len(texts), 512):
-                part = texts.slice(start, 512).to_pylist()
-                n_tokens: list[int] = []
-                for a, b in _slices(part):
-                    n_tokens += count(part[a:b])
-                n_bytes = [len(t.encode()) for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 512), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
-                )
+        with collector_paused():
+            for batch in batches:
+                texts = batch.column(1)
+                for start in range(0, len(texts), 512):
+                    part = texts.slice(start, 512).to_pylist()
+                    n_tokens: list[int] = []
+                    for a, b in _slices(part):
+                        n_tokens += count(part[a:b])
+                    n_bytes = [len(t.encode()) for t in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, 512), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
+                        names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                    )
 
     return small_batches(rows).mapInArrow(run, schema)
 

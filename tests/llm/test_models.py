@@ -262,3 +262,45 @@ def test_pipeline_stages(spark, tmp_path):
     packed = C.STAGES[-1][1](spark, df, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(fourth)
     assert C.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_second_pass_equals_a_plain_search():
+    """The nearest decided neighbour, found by looking at every block."""
+
+    def plain(labels, articles, weak):
+        out = []
+        for k, label in enumerate(labels):
+            if label is None:
+                known = [j for j in range(len(labels)) if labels[j] is not None and not (articles[j] and weak[j]) and (not articles[k] or articles[j] == articles[k])]
+                # of the nearest on each side, the closer one, with weak ones two blocks further away
+                sides = [max((j for j in known if j < k), default=None), min((j for j in known if j > k), default=None)]
+                found = [(abs(j - k) + 2 * weak[j], not labels[j]) for j in sides if j is not None]
+                label = not min(found)[1] if found else bool(articles[k])
+            out.append(label)
+        return out
+
+    r = random.Random(4)
+    for _ in range(400):
+        n = r.randrange(1, 14)
+        labels = [r.choice([None, None, True, False]) for _ in range(n)]
+        articles = sorted(r.choice([0, 0, 1, 2]) for _ in range(n))
+        weak = [r.random() < 0.3 and x is False for x in labels]
+        assert H._by_neighbours(labels, articles, weak) == plain(labels, articles, weak)
+
+
+def test_pages_without_an_article():
+    prose = "It was in the old town that they had found the house of which she had spoken to him, and there were not many of them left by then, as it is with all that is old. "
+    page = f"<body><p>Kurz</p><p>{prose}</p><p>So it was.</p><p>{prose * 2}</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>Zxq vbn wrt plk jhg fds mnb vcx zas qwe rty uio pas dfg hjk klm npq</p></body>"
+    got = H.labelled_blocks(page)
+    assert [(keep, by) for _, keep, by in got] == [(True, "neighbours"), (True, "stop words"), (True, "neighbours"), (True, "stop words"), (False, "links"), (False, "links"), (False, "stop words")]
+    # a list of links in an article follows its neighbours; one without any words of its own goes
+    article = f"<article><p>{prose}</p><p><a href=x>{prose}</a></p><p><a href=y>More</a></p></article>"
+    assert [(keep, by) for _, keep, by in H.labelled_blocks(article)] == [(True, "stop words"), (True, "neighbours"), (False, "links")]
+
+
+def test_extraction_edges(spark):
+    rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>x"), (3, None, "<p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "__html", "__c0", "n_chars", "__text", "__n")})
+    got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in H.extract_text(df).collect())
+    assert [g[0] for g in got] == [1, 2, 3, 3] and got[0] == (1, "u", "", 0) and got[1] == (2, "u", "", 0) and got[2] == got[3]
+    assert H.extract_text(df.where("false")).count() == 0

@@ -1,6 +1,9 @@
 """Token counts, packing, decontamination and licences against plain versions."""
 
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ from lithoframe.llm import decontaminate as D
 from lithoframe.llm import licenses as L
 from lithoframe.llm import packing as P
 from lithoframe.llm import token_counts as T
-from tests.llm.corpus import documents, edge_frames, frame
+from tests.llm.corpus import documents, edge_frames, frame, sentence
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -189,3 +192,65 @@ def test_edges(spark):
         assert D.find_leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0, name
         assert D.without_leaks(df, spark.createDataFrame([(1, "no such passage is in any text")], "item_id long, text string")).count() == n, name
         assert L.scan_licenses(df.withColumn("path", F.lit("d/f"))).count() == n, name
+
+
+def test_licenses_equal_a_plain_tf_idf(spark):
+    """Every line, paragraph and whole text against every template, with frequencies counted over the files."""
+    mit = next(t for n, k, t in L.TEMPLATES if (n, k) == ("MIT", "text"))
+    bsd = next(t for n, k, t in L.TEMPLATES if (n, k) == ("BSD-3-Clause", "text"))
+    files = [
+        (1, "a/LICENSE", "BSD License\n\nCopyright (c) 2020, The Authors\nAll rights reserved.\n\n" + bsd.replace(". ", ".\n")),
+        (2, "a/src/x.py", "import os\nprint(os.name)"),
+        (3, "b/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy this document."),
+        (4, "b/deep/down/y.c", "int main() { return 0; }"),
+        (5, "b/deep/z.c", "// GNU General Public License version 3, 29 June 2007\nint z;"),
+        (6, "c/w.js", "/*\n" + mit + "\n*/\nAll rights reserved.\nlet w = 1"),
+        (7, "c/v.js", "let v = 2"),
+        (8, "v.js", "let u = 3"),
+        (9, None, "Released under the MIT License."),
+    ]
+    n = len(files)
+    count = lambda text: collections.Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower()))
+    idf = lambda w: math.log((1 + n) / (1 + (sum(w in count(t) for _, _, t in files) if w in vocabulary else 0))) + 1
+    vocabulary = {w for _, _, t in L.TEMPLATES for w in count(t)}
+
+    def cosine(a, b):
+        x, y = ({w: c * idf(w) for w, c in count(t).items()} for t in (a, b))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())) if x and y else 0
+
+    def best(text):
+        segments = [*text.split("\n"), *re.split(r"\n\s*\n", text), text]
+        scores = [(cosine(s, t), k, name) for s in segments for name, k, t in L.TEMPLATES]
+        found = [(["notice", "title", "text"].index(k), round(x, 6), name) for x, k, name in scores if x >= L.THRESHOLD]
+        return max(found, default=None)
+
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    for i, _, text in files:
+        if (want := best(text)) is not None:
+            assert (got[i].license, got[i].score) == (want[2], want[1]), i
+    origins = {i: (r.license, r.origin, r.inherited_from) for i, r in got.items()}
+    assert origins[1] == ("BSD-3-Clause", "license_file", None) and origins[2] == ("BSD-3-Clause", "inherited", "a")
+    assert origins[3] == ("GPL-3.0", "license_file", None) and origins[4] == ("GPL-3.0", "inherited", "b")
+    assert origins[5] == ("GPL-3.0", "header", None)
+    assert origins[6] == ("MIT", "license_file", None) and origins[7] == ("MIT", "inherited", "c")
+    assert origins[8] == (None, None, None) and origins[9] == ("MIT", "header", None)
+
+
+def test_edited_items_are_found_within_the_budget(spark):
+    """Items of 60 to 300 characters with up to 10 % of them changed, in single and in doubled spaces."""
+    r = random.Random(8)
+    items = [(k, sentence(r, r.randrange(12, 50))) for k in range(30)]
+    docs = []
+    for k, t in items:
+        c = list(t)
+        for at in r.sample(range(len(c)), D.budget(len(t), D.RATE, D.MIN_PIECE)):
+            c[at] = "#"
+        docs.append((k, sentence(r, 30) + " " + "".join(c).replace(" ", "  " if k % 2 else " ") + "\n\t" + sentence(r, 30)))
+    docs.append((99, sentence(r, 400)))
+    found = D.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} >= {(k, k) for k, _ in items} and all(x.doc_id == x.item_id for x in found)
+    for x in found:
+        text = docs[x.doc_id][1]
+        assert not text[x.start].isspace() and not text[x.end - 1].isspace() and 0 <= x.distance - text[x.start : x.end].count("#") <= 2  # an edit at an end may lie outside
+    kept = D.without_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [x.doc_id for x in kept] == [99]
