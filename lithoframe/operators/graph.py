@@ -45,21 +45,21 @@ def entities(facts: DataFrame) -> DataFrame:
     return both.groupBy("name").agg(F.count("*").alias("facts"), F.count_distinct("doc_id").alias("docs")).join(kind, "name")
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor, depth): every pair that parent links connect, nearest depth; safe on cycles.
 
-    ``edges`` has child and parent.
+    ``edges`` has child and parent.  Every round joins the paths found so far end to
+    end, so the rounds grow with the logarithm of the longest chain, and they go on
+    until nothing is new; a null end links nothing.
     """
-    direct = edges.select("child", F.col("parent").alias("ancestor")).distinct()
-    found = materialize(direct.withColumn("depth", F.lit(1)), "closure")
-    front = found
-    for depth in range(2, rounds + 1):
-        reach = front.select("child", F.col("ancestor").alias("__mid")).join(direct.select(F.col("child").alias("__mid"), "ancestor"), "__mid").select("child", "ancestor").distinct()
-        front = materialize(reach.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if not front.limit(1).count():
+    found, seen = materialize(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure"), None
+    while True:
+        mark = found.agg(F.count("*"), F.sum("depth")).first()
+        if mark == seen:
             return found
-        found = found.unionByName(front)
-    return found
+        seen = mark
+        longer = found.alias("x").join(found.alias("y"), F.col("x.ancestor") == F.col("y.child")).select("x.child", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
+        found = materialize(found.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
 
 
 def subgraph(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:

@@ -73,20 +73,20 @@ def similar_pairs(df: DataFrame, least: float = 0.8) -> DataFrame:
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), estimate(F.col("x.sig"), F.col("y.sig")).alias("similarity")).distinct()
 
 
-def first_kept(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def first_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id`` and ``kept``: in order of id, a row is kept unless an earlier kept row is similar to it.
 
     Decided in rounds for all rows at once: a row whose earlier neighbours are
-    all decided is decided itself.
+    all decided is decided itself.  Each round decides the least open row at least,
+    so the rounds end, after as many as the longest chain of copies is long.
     """
     state = materialize(nodes.select("id", F.lit(None).cast("boolean").alias("kept")), "kept")
-    for _ in range(rounds):
+    while True:
         before = pairs.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or("kept").alias("__any"), F.count(F.when(F.col("kept").isNull(), 1)).alias("__open"))
         now = state.join(before, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("__any"), False).when(F.coalesce("__open", F.lit(0)) == 0, True).alias("kept"))
         state = materialize(now, "kept")
         if not state.where("kept IS NULL").limit(1).count():
             return state
-    raise RuntimeError(f"order of copies did not settle in {rounds} rounds")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "id", text_col: str = "text", least_words: int = 20, least: float = 0.8) -> DataFrame:

@@ -60,11 +60,11 @@ def hierarchy_closure(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {FACTS}, e AS (SELECT DISTINCT src, dst FROM facts WHERE rel_type = 'part_of' AND doc_id % 40 = 0), b AS (SELECT src AS node, dst AS t FROM e UNION SELECT dst, src FROM e),
+    f"""WITH RECURSIVE {FACTS}, e AS (SELECT DISTINCT src, dst FROM facts WHERE rel_type = 'part_of'), b AS (SELECT src AS node, dst AS t FROM e UNION SELECT dst, src FROM e),
 walk AS (SELECT 'S1' AS node, 0 AS level UNION SELECT b.t, w.level + 1 FROM walk w JOIN b ON b.node = w.node WHERE w.level < 3) SELECT node, min(level) AS level FROM walk GROUP BY node"""
 )
 def subgraph_bfs(spark, sf_dir):
-    e = facts(spark, sf_dir).where("rel_type = 'part_of' AND doc_id % 40 = 0").select("src", "dst")
+    e = facts(spark, sf_dir).where("rel_type = 'part_of'").select("src", "dst")
     return G.subgraph(e, spark.createDataFrame([("S1",)], "node string"), 3)
 
 
@@ -106,13 +106,13 @@ def neighbourhood(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FACTS}, few AS (SELECT * FROM facts WHERE doc_id % 50 = 0), b AS (SELECT src AS name, doc_id FROM few UNION ALL SELECT dst, doc_id FROM few), k AS (SELECT name, count(*) AS facts, count(DISTINCT doc_id) AS docs FROM b GROUP BY name),
+    f"""WITH {FACTS}, b AS (SELECT src AS name, doc_id FROM facts UNION ALL SELECT dst, doc_id FROM facts), k AS (SELECT name, count(*) AS facts, count(DISTINCT doc_id) AS docs FROM b GROUP BY name),
 n AS (SELECT DISTINCT dst AS name FROM facts UNION SELECT 'X' || r_regionkey FROM region) SELECT name, 'no_facts' AS gap, CAST(0 AS BIGINT) AS facts FROM n WHERE name NOT IN (SELECT name FROM k) UNION ALL SELECT name, 'one_source', facts FROM k WHERE facts >= 2 AND docs = 1"""
 )
 def gap_finder(spark, sf_dir):
     f = facts(spark, sf_dir)
     names = f.select(F.col("dst").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("X"), F.col("r_regionkey").cast("string")).alias("name"))).distinct()
-    return G.gaps(f.where("doc_id % 50 = 0"), names, 2)
+    return G.gaps(f, names, 2)
 
 
 @query(
@@ -123,7 +123,7 @@ def question_candidates(spark, sf_dir):
     return G.question_candidates(facts(spark, sf_dir), 2).select("id", "doc_id", "turn")
 
 
-_WEAK = f"{FACTS}, e AS (SELECT src AS a, dst AS b, count(DISTINCT doc_id) AS weight FROM facts WHERE doc_id % 200 = 0 GROUP BY ALL)"
+_WEAK = f"{FACTS}, e AS (SELECT src AS a, dst AS b, count(DISTINCT doc_id) AS weight FROM facts GROUP BY ALL)"
 
 
 @query(
@@ -131,7 +131,7 @@ _WEAK = f"{FACTS}, e AS (SELECT src AS a, dst AS b, count(DISTINCT doc_id) AS we
 SELECT node, min(seen) AS component FROM walk GROUP BY node"""
 )
 def components(spark, sf_dir):
-    return G.connected_components(facts(spark, sf_dir).where("doc_id % 200 = 0"), "src", "dst")
+    return G.connected_components(facts(spark, sf_dir), "src", "dst")
 
 
 @query()

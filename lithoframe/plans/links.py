@@ -53,33 +53,33 @@ def mention_test(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHUNKS}, c AS (SELECT doc_id, ord, text || ' see Fig. ' || (ord % 4) || ' and figure ' || (doc_id % 3) AS text FROM chunks WHERE ord < 3), f AS (SELECT doc_id, ord, unnest(list_distinct(regexp_extract_all(text, '(?i)\\bfig[a-z]*\\.?\\s*\\(?(\\d+)', 1))) AS number FROM c),
+    f"""WITH {CHUNKS}, c AS (SELECT doc_id, ord, text || ' see Fig. ' || (ord % 4) || ' and figure ' || (doc_id % 3) AS text FROM chunks), f AS (SELECT doc_id, ord, unnest(list_distinct(regexp_extract_all(text, '(?i)\\bfig[a-z]*\\.?\\s*\\(?(\\d+)', 1))) AS number FROM c),
 i AS (SELECT doc_id, CAST(k AS VARCHAR) AS number, doc_id * 10 + k AS item FROM documents, (SELECT unnest([1, 2]) AS k)) SELECT f.doc_id, f.ord, f.number, i.item FROM f JOIN i ON i.doc_id = f.doc_id AND i.number = f.number"""
 )
 def figure_references(spark, sf_dir):
-    c = chunks(spark, sf_dir).where("ord < 3").withColumn("text", F.concat("text", F.lit(" see Fig. "), (F.col("ord") % 4).cast("string"), F.lit(" and figure "), (F.col("doc_id") % 3).cast("string")))
+    c = chunks(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" see Fig. "), (F.col("ord") % 4).cast("string"), F.lit(" and figure "), (F.col("doc_id") % 3).cast("string")))
     items = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("doc_id", F.col("k").cast("string").alias("number"), (F.col("doc_id") * 10 + F.col("k")).alias("item"))
     return L.reference_rows(c, items, "fig").select("doc_id", "ord", "number", "item")
 
 
 @query(
-    f"""WITH {CHUNKS}, o AS (SELECT doc_id, ord, doc_id * 1000 + ord AS id, text FROM chunks WHERE doc_id % 10 = 0), n AS (SELECT doc_id, ord + 1 AS ord, text FROM o WHERE ord % 4 <> 2 UNION ALL SELECT DISTINCT doc_id, 0, 'a new first chunk' FROM o),
+    f"""WITH {CHUNKS}, o AS (SELECT doc_id, ord, doc_id * 1000 + ord AS id, text FROM chunks), n AS (SELECT doc_id, ord + 1 AS ord, text FROM o WHERE ord % 4 <> 2 UNION ALL SELECT DISTINCT doc_id, 0, 'a new first chunk' FROM o),
 oh AS (SELECT *, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM o), nh AS (SELECT *, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM n), ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY ord) AS k FROM oh), nk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY ord) AS k FROM nh),
 t AS (SELECT nk.doc_id, nk.ord, ok.id FROM nk LEFT JOIN ok ON ok.doc_id = nk.doc_id AND ok.h = nk.h AND ok.k = nk.k)
 SELECT t.doc_id, t.ord, coalesce(t.id, f.id) AS old_id, t.id IS NOT NULL AS same FROM t LEFT JOIN (SELECT * FROM o WHERE id NOT IN (SELECT id FROM t WHERE id IS NOT NULL)) f ON f.doc_id = t.doc_id AND f.ord = t.ord"""
 )
 def chunk_identity(spark, sf_dir):
-    old = chunks(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id", "ord", (F.col("doc_id") * 1000 + F.col("ord")).alias("id"), "text")
+    old = chunks(spark, sf_dir).select("doc_id", "ord", (F.col("doc_id") * 1000 + F.col("ord")).alias("id"), "text")
     new = old.where("ord % 4 <> 2").select("doc_id", (F.col("ord") + 1).alias("ord"), "text").unionByName(old.select("doc_id").distinct().select("doc_id", F.lit(0).alias("ord"), F.lit("a new first chunk").alias("text")))
     return L.match_chunks(old, new)
 
 
 @query(
-    """WITH a AS (SELECT o_orderkey AS doc_id, list_distinct(list(l_suppkey)) AS authors FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey), k AS (SELECT doc_id, len(authors) AS n, unnest(authors) AS author FROM a)
+    """WITH a AS (SELECT o_orderkey AS doc_id, list_distinct(list(l_partkey)) AS authors FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey), k AS (SELECT doc_id, len(authors) AS n, unnest(authors) AS author FROM a)
 SELECT x.doc_id AS a, y.doc_id AS b, round(count(*) / least(max(x.n), max(y.n)), 6) AS share FROM k x JOIN k y ON x.author = y.author AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) / least(max(x.n), max(y.n)) >= 0.5"""
 )
 def author_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set("l_suppkey").alias("authors"))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set("l_partkey").alias("authors"))
     return L.author_overlap(docs).select("a", "b", F.round("share", 6).alias("share"))
 
 
@@ -102,11 +102,11 @@ def hedged_relations(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FACTS} SELECT id, array_to_string(list_sort(list(DISTINCT partner)), ',') AS partners FROM (SELECT f.id, g.dst AS partner FROM facts f JOIN facts g ON g.src = f.src AND g.doc_id = f.doc_id AND g.dst <> f.dst WHERE f.doc_id % 20 = 0) GROUP BY id"""
+    f"""WITH {FACTS} SELECT id, array_to_string(list_sort(list(DISTINCT partner)), ',') AS partners FROM (SELECT f.id, g.dst AS partner FROM facts f JOIN facts g ON g.src = f.src AND g.doc_id = f.doc_id AND g.dst <> f.dst) GROUP BY id"""
 )
 def partner_lists(spark, sf_dir):
     """Other ends that the same document states for a fact's source, as an ordered list."""
-    f = facts(spark, sf_dir).where("doc_id % 20 = 0").select("id", "doc_id", "src", "dst")
+    f = facts(spark, sf_dir).select("id", "doc_id", "src", "dst")
     met = f.alias("f").join(f.alias("g"), (F.col("f.src") == F.col("g.src")) & (F.col("f.doc_id") == F.col("g.doc_id")) & (F.col("f.dst") != F.col("g.dst")))
     return met.groupBy("f.id").agg(F.array_join(F.array_sort(F.collect_set("g.dst")), ",").alias("partners"))
 
@@ -189,13 +189,13 @@ def _times(pattern):
 
 
 @query(
-    rf"""WITH c AS (SELECT doc_id, {_times(r'\p{L}{2,}')} AS words, {_times(R.WORKPLACES)} AS places, {_times(R.AUTHOR)} AS people, {_times(R.PAGE)} AS pages FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'A. Smith, B. Jones. Institute of Geology, University of Leeds; Department of Earth Sciences. ' || text ELSE text END AS text FROM documents WHERE n_chars < 2000))
+    rf"""WITH c AS (SELECT doc_id, {_times(r'\p{L}{2,}')} AS words, {_times(R.WORKPLACES)} AS places, {_times(R.AUTHOR)} AS people, {_times(R.PAGE)} AS pages FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'A. Smith, B. Jones. Institute of Geology, University of Leeds; Department of Earth Sciences. ' || text ELSE text END AS text FROM documents))
 SELECT doc_id, words < 150 AND pages < 2 AND ((places >= 3 AND places / greatest(words, 1) >= 0.06) OR (places >= 2 AND (places + people) / greatest(words, 1) >= 0.12)) AS affiliations FROM c"""
 )
 def affiliation_chunks(spark, sf_dir):
-    """Short documents, a fifth of them behind a line of authors and places of work."""
+    """Documents, a fifth of them behind a line of authors and places of work."""
     line = F.lit("A. Smith, B. Jones. Institute of Geology, University of Leeds; Department of Earth Sciences. ")
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(line, "text")).otherwise(F.col("text"))
     return docs.select("doc_id", text.alias("text")).select("doc_id", R.is_affiliations(F.col("text")).alias("affiliations"))
 

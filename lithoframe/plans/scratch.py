@@ -14,12 +14,16 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables.
 
-    It is read from ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder of this process is used.
+    It is read from ``spark.checkpoint.dir``.  Where that is unset a local master
+    gets a temporary folder of this process; on a cluster, whose executors would each
+    write to their own disk, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="lithoframe-")

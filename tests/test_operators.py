@@ -13,7 +13,10 @@ from lithoframe.operators import minhash as M
 from lithoframe.operators import search as S
 from lithoframe.operators import statistics as T
 from lithoframe.operators import tables as B
+from lithoframe.operators import upkeep as U
+from lithoframe.operators import words as W
 from lithoframe.operators.components import connected_components
+from lithoframe.plans import scratch
 from lithoframe.sources import api, files, sinks
 
 
@@ -193,3 +196,57 @@ def test_sinks(spark, tmp_path):
     assert [json.loads(x) for x in sinks.event_lines(df)] == [{"id": 1, "x": ["a", "b"]}]
     sinks.dossier_files(spark.createDataFrame([(1, "direct")], "id long, section string"), str(tmp_path / "d"))
     assert spark.read.json(str(tmp_path / "d" / "json")).count() == 1
+
+
+def test_closure_of_a_long_chain_is_whole(spark):
+    n = 70
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(200, 201), (201, 200), (300, None)], "child int, parent int")
+    got = {(r.child, r.ancestor): r.depth for r in G.closure(edges).where("child < 300").collect()}
+    want = {(a, b): b - a for a in range(n) for b in range(a + 1, n + 1)}
+    assert got == want | {(200, 201): 1, (201, 200): 1, (200, 200): 2, (201, 201): 2}
+
+
+def test_first_kept_follows_a_chain_to_its_end(spark):
+    n = 20
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "id int")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a int, b int")
+    assert {r.id for r in M.first_kept(nodes, pairs).where("kept").collect()} == set(range(0, n, 2))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Fake:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Fake)
+
+
+def test_query_syntax():
+    assert W.parse("gold veins") == W.Query((("gold",), ("veins",)))
+    assert W.parse('"native gold" -silver ore', variants=lambda w: (w + "s",)) == W.Query((("ore", "ores"),), (("native", "gold"),), ("silver",))
+    assert W.has_syntax('a "b c"') and W.has_syntax("a -b") and not W.has_syntax("well-known fact")
+    assert W.parse("-a -b-c").excluded == ("a", "b", "c") and W.parse("").groups == ()
+
+
+def test_index_search(spark):
+    texts = ["native gold in a vein", "gold native", "native silver gold gold", "Native gold, native gold", "nothing", ""]
+    index = W.word_index(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    found = lambda q, **k: [r.id for r in W.search_index(index, W.parse(q, **k), 10).collect()]
+    assert found("gold native") == [3, 2, 0, 1]
+    assert found('"native gold"') == [3, 0] and found("gold -silver -vein") == [3, 1]
+    assert found("silver vein") == [] and found("silver vein", any_word=True) == [0, 2]
+    assert found("golds", variants=lambda w: (w[:-1],)) == [2, 3, 0, 1] and found("") == [] and found("-gold") == []
+
+
+def test_upkeep_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, chunk_id long, src string, relation string, dst string, text string")
+    assert U.save_facts(none, none, none).count() == 0 and U.vector_changes(none, none).count() == 0
+    null = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "id int, text string")
+    other = spark.createDataFrame([(1, None), (2, None), (4, "y")], "id int, text string")
+    assert {tuple(r) for r in U.vector_changes(null, other).collect()} == {(2, "update"), (3, "insert"), (4, "delete")}
