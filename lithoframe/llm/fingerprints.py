@@ -12,7 +12,8 @@ share of equal bits.
 tables: the bits are cut into radius + 2 blocks, and there is a table for every
 pair of blocks, keyed by their bits.  Two fingerprints within the radius differ
 in at most ``radius`` blocks, so they agree in two and meet in that table; each
-match is verified over all bits.
+match is verified over all bits and given by one table only.  Copies are one entry
+with a count, and a crowded key is left to the skew join.
 
 Edge cases: null texts are empty; repeated rows each give a row; ties in the id
 follow the text's order; null ids sort first; a single document is its own next
@@ -21,6 +22,8 @@ one; an empty table gives an empty table; other input columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +36,8 @@ HEAVIEST = 24
 PART_TERMS = 1024
 #: Documents that are put in order together.
 RUN_ROWS = 4000
+#: Bits in which fingerprints of the contract's search may differ.
+RADIUS = 3
 #: Quantiles of the ids that are fetched to cut them into runs.
 QUANTILES = 512
 
@@ -68,34 +73,68 @@ def distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
-    """(query, id, distance) of every pair of a query and a print within ``radius`` bits.
-
-    Both have ``id_col``, hi and lo.  Copies of a fingerprint are searched once.
-    """
+def _masks(radius: int) -> list[list[tuple[str, int]]]:
+    """The (column, mask) parts of each of the radius + 2 blocks, counted from lo's lowest bit."""
     blocks = radius + 2
     edges = [128 * k // blocks for k in range(blocks + 1)]
-
-    def block(k: int) -> Column:
-        """Bits edges[k] to edges[k + 1] - 1, counted from lo's lowest."""
-        a, b = edges[k], edges[k + 1]
+    out = []
+    for a, b in zip(edges, edges[1:]):
         parts = []
         for name, base in (("lo", 0), ("hi", 64)):
             x, y = max(a, base) - base, min(b, base + 64) - base
             if x < y:
                 mask = (1 << y) - (1 << x)
-                parts.append(F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-        return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).cast("string")
+                parts.append((name, mask - (1 << 64) if mask >> 63 else mask))
+        out.append(parts)
+    return out
+
+
+def _matches(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(qh, ql, hi, lo, n, distance) of every two fingerprints within ``radius`` bits, once.
 
-    tables = F.array(*[F.xxhash64(F.lit(i), block(a), block(b)) for i, (a, b) in enumerate(combinations(range(blocks), 2))])
-    keyed = lambda d: d.select("hi", "lo").distinct().withColumn("key", F.explode(tables))
-    q, p = keyed(queries).alias("q"), keyed(prints).alias("p")
+    n counts the rows of ``prints`` that have the fingerprint.  Two fingerprints
+    may meet in several tables; the one of the two lowest blocks in which they
+    agree gives the pair, so that no shuffle has to remove repeats.
+    """
+    masks = _masks(radius)
+    pairs = list(combinations(range(len(masks)), 2))
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in masks[a] + masks[b]]) for i, (a, b) in enumerate(pairs)])
+    keyed = lambda d: d.select("*", F.posexplode(keys).alias("table", "key"))
+    q = keyed(queries.groupBy("hi", "lo").agg(F.count("*").alias("n"))).alias("q")
+    p = keyed(prints.groupBy("hi", "lo").agg(F.count("*").alias("n"))).alias("p")
+
+    def agree(k: int) -> Column:
+        same = [F.col(f"q.{c}").bitwiseXOR(F.col(f"p.{c}")).bitwiseAND(F.lit(m)) == 0 for c, m in masks[k]]
+        return reduce(Column.__and__, same)
+
+    first = F.lit(False)
+    for i, (a, b) in enumerate(pairs):
+        here = reduce(Column.__and__, [agree(k) if k in (a, b) else ~agree(k) for k in range(b + 1)])
+        first = F.when(F.col("p.table") == i, here).otherwise(first)
     apart = distance(F.col("q.hi"), F.col("q.lo"), F.col("p.hi"), F.col("p.lo"))
-    met = q.join(p, (F.col("q.key") == F.col("p.key")) & (apart <= radius)).select(F.col("q.hi").alias("qh"), F.col("q.lo").alias("ql"), "p.hi", "p.lo", apart.alias("distance")).distinct()
+    met = (F.col("q.table") == F.col("p.table")) & (F.col("q.key") == F.col("p.key")) & (apart <= radius) & first
+    return q.join(p, met).select(F.col("q.hi").alias("qh"), F.col("q.lo").alias("ql"), "p.hi", "p.lo", "p.n", apart.alias("distance"))
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
+    """(query, id, distance) of every pair of a query and a print within ``radius`` bits.
+
+    Both have ``id_col``, hi and lo.  Copies of a fingerprint are searched once.
+    """
+    met = _matches(queries, prints, radius).drop("n")
     named = queries.select(F.col(id_col).alias("query"), F.col("hi").alias("qh"), F.col("lo").alias("ql"))
     return met.join(named, ["qh", "ql"]).join(prints.select(id_col, "hi", "lo"), ["hi", "lo"]).select("query", id_col, "distance")
 
 
+def counts_within(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(hi, lo, n_within): of each of the queries' fingerprints, the rows of ``prints`` within ``radius`` bits.
+
+    Copies stay collapsed, and matches are summed before they are shuffled.
+    """
+    met = _matches(queries, prints, radius)
+    return met.groupBy(F.col("qh").alias("hi"), F.col("ql").alias("lo")).agg(F.sum("n").alias("n_within"))
+
+
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row with its place (run, at) by ascending id, and the next row's text and place.
 
@@ -136,11 +175,13 @@ def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return seen.where(~F.col("guest")).select("run", "at", "id", "text", "next_text", F.when(F.col("__g"), F.col("__o")).otherwise(F.col("run")).alias("next_run"), F.when(F.col("__g"), F.lit(1)).otherwise(F.col("at") + 1).alias("next_at"))
 
 
-def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, asked: Callable[[Column], Column] | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next text, compared.
 
     The edited text has its last floor(n / 2) code points replaced by as many of
-    the next document's first, or all of them if it has fewer.
+    the next document's first, or all of them if it has fewer.  ``asked`` tells by
+    the id which rows the block tables are searched for: n_within counts the other
+    rows whose text's fingerprint is within ``radius`` bits, null for rows not asked.
     """
     rows = in_order(df, id_col, text_col)
     n = F.length("text")
@@ -157,7 +198,15 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     wide = materialize(wide, "prints")
     after = wide.select(F.col("run").alias("next_run"), F.col("at").alias("next_at"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo"))
     like = lambda a, b: F.lit(1.0) - distance(F.col("hi"), F.col("lo"), F.col(a), F.col(b)) / F.lit(128.0)
-    return wide.join(after, ["next_run", "next_at"]).select(
+    out = wide.join(after, ["next_run", "next_at"])
+    found = []
+    if asked is not None:
+        queries = wide.where(asked(F.col("id"))).select("next_run", "next_at", "hi", "lo")
+        counts = counts_within(queries, wide.select("hi", "lo"), radius)
+        # A row's next place is its own too, so this join finds the rows where the last one left them.
+        out = out.join(queries.join(counts, ["hi", "lo"]).select("next_run", "next_at", "n_within"), ["next_run", "next_at"], "left")
+        found = [(F.col("n_within") - 1).alias("n_within")]
+    return out.select(
         F.col("id").cast(df.schema[id_col].dataType).alias(id_col),
         "n_chars",
         F.lower(F.concat(*[F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4)])).alias("edited_sha256"),
@@ -165,8 +214,10 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
         as_hex(F.col("ehi"), F.col("elo")).alias("edited_fingerprint"),
         like("ehi", "elo").alias("near_edited"),
         like("nhi", "nlo").alias("near_next"),
+        *found,
     )
 
 
 def op6_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    """The contract's columns for all documents; the searched ones are those whose id is divisible by 100."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"), asked=lambda i: i % 100 == 0)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from lithoframe.llm import fingerprints as G
 from lithoframe.llm import near_dedup as N
@@ -202,12 +203,30 @@ def test_within_radius_equals_brute_force(spark):
     assert got == want
 
 
+def test_the_query_searches_the_block_tables(spark):
+    r = random.Random(11)
+    base = "".join(r.choice("abcdefghij ") for _ in range(4000))
+    rows = []
+    for k in range(60):
+        at = r.randrange(len(base))
+        rows.append((k * 50 + 50, base if k % 5 == 0 else base[:at] + "x" * (k % 7) + base[at:]))
+    rows += [(7000 + k, "".join(r.choice("klmnopqr ") for _ in range(300))) for k in range(20)]
+    got = G.edited_fingerprints(frame(spark, rows), radius=3, asked=lambda i: i % 100 == 0).collect()
+    prints = {x.doc_id: int(x.fingerprint, 16) for x in got}
+    assert len(prints) == len(rows)
+    want = {i: sum((p ^ q).bit_count() <= 3 for q in prints.values()) - 1 if i % 100 == 0 else None for i, p in prints.items()}
+    assert {x.doc_id: x.n_within for x in got} == want
+    assert len(set(want.values())) > 3
+
+
 def test_edges(spark):
     for name, df in edge_frames(spark).items():
         n = df.count()
         assert N.near_duplicates(df).count() == n, name
         assert S.remove_repeats(df).count() == n, name
         assert G.edited_fingerprints(df).count() == n, name
+        asked = G.edited_fingerprints(df, asked=lambda i: i % 100 == 0)
+        assert asked.count() == n and asked.where(F.col("doc_id").isNull() & F.col("n_within").isNotNull()).count() == 0, name
     twice = frame(spark, [(1, "one two three four five six")] * 3)
     assert N.keep_one_of_each(twice).count() == 1
     null = N.near_duplicates(frame(spark, [(None, "a b c d"), (7, "a b c d"), (None, "q")])).collect()
