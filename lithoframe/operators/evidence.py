@@ -72,10 +72,12 @@ def find_areas(texts: DataFrame, aliases: DataFrame, *, id_col: str = "id", text
     runs = words.select("id", F.posexplode("w").alias("at", "first"), "w").select("id", "at", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), "w").where(F.col("at") + F.col("n") <= F.size("w"))
     keyed = runs.select("id", "at", "n", F.array_join(F.call_function("slice", "w", F.col("at") + 1, F.col("n")), " ").alias("key"))
     names = aliases.select(F.array_join(F.regexp_extract_all(F.lower("alias"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ").alias("key"), "area_id", "alias")
-    hits = keyed.join(names, "key")
+    # An alias of several areas is one hit until the longest hits are known.
+    hits = keyed.join(names, "key").groupBy("id", "at", "n").agg(F.collect_set(F.struct("area_id", "alias")).alias("areas"))
     w = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     ends = hits.withColumn("__reach", F.max(F.col("at") + F.col("n")).over(w))
-    return ends.where(F.col("__reach").isNull() | (F.col("at") + F.col("n") > F.col("__reach"))).select("id", "area_id", "alias").distinct()
+    longest = ends.where(F.col("__reach").isNull() | (F.col("at") + F.col("n") > F.col("__reach")))
+    return longest.select("id", F.inline("areas")).select("id", "area_id", "alias").distinct()
 
 
 def area_closure(areas: DataFrame) -> DataFrame:

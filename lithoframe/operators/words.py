@@ -88,6 +88,23 @@ def search_index(index: DataFrame, query: Query, k: int) -> DataFrame:
     return found.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def cover_density(index: DataFrame, groups: Sequence[Sequence[str]], k: int) -> DataFrame:
+    """The top ``k`` ids whose texts hold a word of every group, by how close together they stand (score, ties by id).
+
+    A cover is a run of words that holds one of every group and no shorter such
+    run; it counts 1 / (1 + the words in it beyond one for each group).
+    """
+    here = [F.when(F.col("word").isin(*g), F.col("at")) for g in groups]
+    hits = index.where(F.col("word").isin(*{w for g in groups for w in g})).select("id", "word", F.explode("positions").alias("at"))
+    so_far = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = hits.select("id", "at", *[F.last(x, ignorenulls=True).over(so_far).alias(f"l{i}") for i, x in enumerate(here)])
+    whole = reduce(Column.__and__, [F.col(f"l{i}").isNotNull() for i in range(len(groups))])
+    start = F.least(*[f"l{i}" for i in range(len(groups))]) if len(groups) > 1 else F.col("l0")
+    runs = last.where(whole).groupBy("id", start.alias("start")).agg(F.min("at").alias("end"))
+    score = F.sum(F.lit(1.0) / (1 + F.greatest(F.col("end") - F.col("start") + 1 - len(groups), F.lit(0))))
+    return runs.groupBy("id").agg(F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def clean_name(name: Column) -> Column:
     """A name without surrounding punctuation and a leading preposition or article; inner white space as one space."""
     bare = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), r"^[\s.,;:!?'\"«»()\[\]-]+|[\s.,;:!?'\"«»(\[-]+$", "")
