@@ -292,6 +292,8 @@ def search(index: DataFrame, asked: list[Counter], k: int) -> DataFrame:
             for r in range(batch.num_rows):
                 ids, lengths, terms, sizes, docs, counts = (batch.column(c)[r].values for c in range(6))
                 kept = [(number[t], j) for j, t in enumerate(terms.cast(pa.binary()).to_pylist()) if t in number]
+                if not kept:
+                    continue
                 here = np.full(len(number), -1)
                 sizes = sizes.to_numpy().astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
