@@ -11,9 +11,11 @@ Dynamic programming finds, among all cuts into blocks of at most `LONGEST`
 postings, the one of least bound error (a block's greatest impact less each
 posting's own, summed) plus `PRICE` for each block; all terms of a shard go
 through it in step.  A document's bound is the sum of its query terms' block
-maxima.  Only documents whose bound reaches the k-th best score so far have their
-postings read and scored; as in WAND this loses no result, whatever the order, and
-the documents of highest bounds are scored first, so the threshold rises early.
+maxima: a dense block counts for the whole range that it spans, a sparse one, as
+in WAND's choice of a pivot, for the documents of its postings only.  Only
+documents whose bound reaches the k-th best score so far are scored; this loses no
+result, whatever the order, and the documents of highest bounds are scored first,
+so the threshold rises early.
 
 The queries are a stated set: they go out in blocks of at most `QUERY_CHARS`
 characters, one map over the shards for each.  A shard gives its k best documents
@@ -47,6 +49,8 @@ QUERY_CHARS = 1 << 20
 LONGEST, PRICE = 64, 1_000_000
 #: Groups that the shards' lists of one query are dealt to before the last choice.
 SPREAD = 64
+#: A block is sparse if it spans more than so many documents for each posting.
+SPARSE = 2
 
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -201,6 +205,11 @@ def cut_blocks(impacts: np.ndarray, starts: np.ndarray, longest: int = LONGEST,
     return np.sort(np.concatenate(begins)) if begins else np.empty(0, np.int64)
 
 
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class Shard:
     """A shard's postings with impacts and blocks, ready for queries."""
 
@@ -212,21 +221,27 @@ class Shard:
         starts = np.cumsum(sizes) - sizes
         self.keys = np.repeat(np.arange(len(sizes)), sizes) * self.width + docs
         begin = cut_blocks(self.impacts, starts)
-        end = np.append(begin[1:], len(docs)) - 1
+        end = np.append(begin[1:], len(docs))[: len(begin)] - 1
         self.greatest = np.maximum.reduceat(self.impacts, begin) if len(begin) else np.empty(0, np.int64)
+        self.begin, self.length = begin, end + 1 - begin
         self.low, self.high = docs[begin], docs[end] + 1
+        self.sparse = self.high - self.low > SPARSE * self.length
         self.block_of = np.searchsorted(begin, np.append(starts, len(docs)))
         self.scored = 0
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """For every document, the sum of the weighted maxima of the blocks that span it."""
+        """For every document, the sum of the weighted maxima of the blocks that may hold it."""
         n = self.block_of[terms + 1] - self.block_of[terms]
-        which = np.arange(n.sum()) + np.repeat(self.block_of[terms] - (np.cumsum(n) - n), n)
+        which = spans(self.block_of[terms], n)
         value = np.repeat(weights, n) * self.greatest[which]
+        sparse = self.sparse[which]
         step = np.zeros(self.width + 1, np.int64)
-        np.add.at(step, self.low[which], value)
-        np.subtract.at(step, self.high[which], value)
-        return np.cumsum(step)[:-1]
+        np.add.at(step, self.low[which[~sparse]], value[~sparse])
+        np.subtract.at(step, self.high[which[~sparse]], value[~sparse])
+        bound = np.cumsum(step)[:-1]
+        which, value = which[sparse], value[sparse]
+        np.add.at(bound, self.docs[spans(self.begin[which], self.length[which])], np.repeat(value, self.length[which]))
+        return bound
 
     def scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         self.scored += len(docs)
@@ -299,7 +314,7 @@ def search(index: DataFrame, asked: list[Counter], k: int) -> DataFrame:
                 starts = np.cumsum(sizes) - sizes
                 at = np.array([j for _, j in kept], np.int64)
                 here[np.array([t for t, _ in kept], np.int64)] = np.arange(len(kept))
-                take = np.arange(sizes[at].sum()) + np.repeat(starts[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at])
+                take = spans(starts[at], sizes[at])
                 shard = Shard(sizes[at], docs.to_numpy().astype(np.int64)[take], counts.to_numpy()[take], lengths.to_numpy(), n_docs, n_terms)
                 found: list[list[np.ndarray]] = [[], [], []]
                 for q, (own, worth) in enumerate(lists):
