@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.llm import decontaminate, fingerprints, golden_records, html_text, language_model, licenses, near_dedup, packing, quality, ranked_search, suffix_dedup, token_counts
+from lithoframe.llm import decontaminate, fingerprints, golden_records, html_text, language_model, languages, licenses, near_dedup, packing, quality, ranked_search, suffix_dedup, token_counts
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_byte_cnn_quality": quality.op9_byte_cnn_quality,
         "op10_prefix_free_dedup": suffix_dedup.op10_prefix_free_dedup,
         "op11_block_max_search": ranked_search.op11_block_max_search,
+        "op12_language_mixtures": languages.op12_language_mixtures,
         "op13_golden_records": golden_records.op13_golden_records,
     }
 
