@@ -157,39 +157,6 @@ def bind_objects(sentences: DataFrame, sources: DataFrame) -> DataFrame:
     return sentences.join(held, ["id", "n"], "left").where(F.col("object").isNull() | F.col("__ok")).drop("__ok")
 
 
-def cover_blocks(df: DataFrame, vectors: str, id_col: str, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, similarity) of all pairs of rows of a bounded set of names with cosine of at least ``least``, a < b.
-
-    The names are cut into blocks; each block is a stated query set that meets
-    the table as one matrix product, and only pairs that pass leave it.
-    """
-    import numpy as np
-
-    total = df.count()
-    blocks = max(1, -(-total // block))
-    keyed = df.select(F.col(id_col).alias("q"), F.col(vectors).alias("v")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = keyed.where(F.col("b") == b).select("q", "v").collect()
-        ids, mat = np.array([r.q for r in rows]), np.array([r.v for r in rows], np.float64)
-        if len(rows):
-            mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
-
-        def near(frames: Iterator[pd.DataFrame], ids=ids, mat=mat) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f) and len(ids):
-                    x = np.stack(f["v"].to_numpy()).astype(np.float64)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    s = np.round(mat @ x.T, 6)
-                    own = f["i"].to_numpy()
-                    p, q = np.nonzero((s >= least) & (ids[:, None] < own[None, :]))
-                    yield pd.DataFrame({"a": ids[p], "b": own[q], "similarity": s[p, q]})
-
-        part = df.select(F.col(id_col).alias("i"), F.col(vectors).alias("v")).mapInPandas(near, "a long, b long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def merge_guard(a: Column, b: Column) -> Column:
     """True if two names may be one: same numbers, Greek letters and compass words."""
     marks = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|[α-ω]|\b(?:north|south|east|west|upper|lower)\w*)"), F.lit(1))))

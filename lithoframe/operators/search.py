@@ -157,39 +157,3 @@ def concept_rerank(hits: DataFrame, concepts: Sequence[Sequence[str]], *, text_c
     low = F.lower(F.col(text_col))
     named = [reduce(lambda a, b: a | b, [F.contains(low, F.lit(s.lower())) for s in c]).cast("double") for c in concepts]
     return ranked(hits.withColumn("share", F.round(sum(named, F.lit(0.0)) / len(concepts), 4)), [F.desc("share"), F.col(order_col)], "place")
-
-
-def knn_join(left: DataFrame, right: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", block: int = 2000) -> DataFrame:
-    """The k nearest rows of ``right`` for every row of ``left``, exactly.
-
-    ``left`` is the query set: it is cut into blocks of bounded size, each of
-    which meets every partition of ``right`` as one matrix product; partial
-    top-k lists are merged with an aggregation.  No pair is ever emitted beyond
-    k per query and partition.
-    """
-    import numpy as np
-    import pandas as pd
-
-    total = left.count()
-    blocks = max(1, -(-total // block))
-    keyed = left.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = keyed.where(F.col("b") == b).select("q", "v").collect()
-        ids, mat = [r.q for r in rows], np.array([r.v for r in rows], np.float64)
-
-        def near(frames, ids=ids, mat=mat):
-            for f in frames:
-                if not len(f) or not ids:
-                    continue
-                x = np.stack(f["v"].to_numpy()).astype(np.float64)
-                s = np.round(mat @ x.T, 6)
-                own = f["i"].to_numpy()
-                order = np.argsort(own, kind="stable")
-                s, own = s[:, order], own[order]
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "i": own[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-
-        part = right.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).mapInPandas(near, "q long, i long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return top_per_group(out.where("q <> i"), "q", [F.desc("similarity"), F.col("i")], k, "pos")

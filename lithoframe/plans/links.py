@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithoframe.functions import rules as R
 from lithoframe.operators import linking as L
 from lithoframe.operators import search as S
+from lithoframe.operators.cosine_join import exact_join
 from lithoframe.plans.catalog import query
 from lithoframe.plans.views import CHUNKS, FACTS, chunks, facts, table
 
@@ -85,8 +86,8 @@ def author_overlap(spark, sf_dir):
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE similarity >= 0.45")
 def similar_names(spark, sf_dir):
-    """All pairs of vectors of at least 0.45, by blocks of queries."""
-    return L.cover_blocks(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 0.45)
+    """All pairs of vectors of at least 0.45, by pairs of blocks."""
+    return exact_join(table(spark, sf_dir, "embeddings"), 0.45, id_col="vec_id")
 
 
 @query(f"WITH {FACTS}, k AS (SELECT 'located in' AS relation, 'AT' AS rel_type, 'S' AS a, 'P' AS b UNION ALL SELECT 'contains', 'HOLDS', 'P', 'S') SELECT f.id, k.rel_type, k.rel_type IS NOT NULL AND k.a = 'P' AS flip FROM facts f LEFT JOIN k ON k.relation = f.relation")

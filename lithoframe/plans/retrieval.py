@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithoframe.operators import search as S
+from lithoframe.operators.vector_index import knn_join as knn_join_in_blocks
 from lithoframe.plans.catalog import query
 from lithoframe.plans.views import table
 
@@ -153,7 +154,7 @@ SELECT q.vec_id AS q, e.vec_id AS i, round(list_dot_product(CAST(q.embedding AS
 def knn_join(spark, sf_dir):
     """The five nearest vectors of every stated query (ids divisible by 100)."""
     vectors = _vectors(spark, sf_dir)
-    return S.knn_join(vectors.where("id % 100 = 0"), vectors, 5).select("q", "i", "similarity", "pos")
+    return knn_join_in_blocks(vectors.where("id % 100 = 0"), vectors, 5).select("q", "i", "similarity", "pos")
 
 
 @query(
