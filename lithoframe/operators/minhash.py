@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.text import jaccard, shingles
 from lithoframe.operators.components import connected_components
-from lithoframe.plans.scratch import materialize
+from lithoframe.plans.scratch import materialize, new_path
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS, ROWS = 64, 16, 4
+#: Signatures of one band that one part takes.
+CROWD = 1024
 
 
 def permutation(k: int) -> tuple[int, int]:
@@ -65,28 +67,59 @@ def bands(sig: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_join(F.transform(F.slice(sig, b * ROWS + 1, ROWS), lambda x: x.cast("string")), "-").alias("key")))
 
 
+def keyed_bands(df: DataFrame) -> DataFrame:
+    """(band, key, id, sig) for every band of rows (id, sig)."""
+    return df.select("id", "sig", F.explode(bands(F.col("sig"))).alias("x")).select("x.band", "x.key", "id", "sig")
+
+
 def similar_pairs(df: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, similarity) of representatives, a < b; ``df`` has id and sig, one row for each signature."""
-    keyed = df.select("id", "sig", F.explode(bands(F.col("sig"))).alias("x")).select("id", "sig", "x.band", "x.key")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), estimate(F.col("x.sig"), F.col("y.sig")).alias("similarity")).distinct()
+    """Pairs (a, b, similarity) of representatives, a < b; ``df`` has id and sig, one row for each signature.
+
+    The rows of a band that more than `CROWD` signatures share are dealt to parts on
+    one side, and sent to all parts on the other.
+    """
+    keyed = keyed_bands(df)
+    crowded = materialize(keyed.groupBy("band", "key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1"), "crowded")
+    parts = keyed.join(crowded, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = parts.select("band", "key", F.col("id").alias("a"), F.col("sig").alias("s"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    y = parts.select("band", "key", F.col("id").alias("b"), F.col("sig").alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = x.join(y, ["band", "key", "part"]).where(F.col("a") < F.col("b")).select("a", "b", estimate(F.col("s"), F.col("t")).alias("similarity"))
+    return met.where(F.col("similarity") >= least).distinct()
 
 
 def first_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id`` and ``kept``: in order of id, a row is kept unless an earlier kept row is similar to it.
 
-    Decided in rounds for all rows at once: a row whose earlier neighbours are
-    all decided is decided itself.  Each round decides the least open row at least,
-    so the rounds end, after as many as the longest chain of copies is long.
+    Decided in rounds for all rows at once: a row with no open earlier neighbour is
+    kept, and its later neighbours are not.  Only what is still open goes on to the
+    next round, so most rows take part in one; each round decides the least open row
+    at least, so the rounds end.
     """
-    state = materialize(nodes.select("id", F.lit(None).cast("boolean").alias("kept")), "kept")
-    while True:
-        before = pairs.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or("kept").alias("__any"), F.count(F.when(F.col("kept").isNull(), 1)).alias("__open"))
-        now = state.join(before, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("__any"), False).when(F.coalesce("__open", F.lit(0)) == 0, True).alias("kept"))
-        state = materialize(now, "kept")
-        if not state.where("kept IS NULL").limit(1).count():
-            return state
+    path = new_path(nodes.sparkSession, "kept")
+
+    def save(free: DataFrame, number: int) -> DataFrame:
+        free.write.parquet(f"{path}/round={number}")
+        return nodes.sparkSession.read.schema(free.schema).parquet(f"{path}/round={number}")
+
+    open_, number = pairs.select("a", "b"), 0
+    free = save(nodes.select("id").join(pairs.select(F.col("b").alias("id")), "id", "left_anti"), 0)
+    while free.limit(1).count():
+        a_free = free.select(F.col("id").alias("a"))
+        dropped = open_.join(a_free, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        waiting = open_.join(dropped.select(F.col("id").alias("b")), "b", "left_anti")
+        now = materialize(waiting.join(dropped.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"), "open")
+        number += 1
+        free = save(waiting.select(F.col("b").alias("id")).distinct().join(now.select(F.col("b").alias("id")), "id", "left_anti"), number)
+        open_ = now
+    kept = nodes.sparkSession.read.schema(free.schema).parquet(*[f"{path}/round={k}" for k in range(number + 1)])
+    return nodes.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def sign_long(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """(id, sig): signatures of texts of at least ``least_words`` words, null for others; a table."""
+    words = F.size(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    long_enough = df.select(F.col(id_col).alias("id"), F.when(words >= least_words, F.col(text_col)).alias("__t"))
+    return materialize(signatures(long_enough, "id", F.col("__t")), "signatures")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "id", text_col: str = "text", least_words: int = 20, least: float = 0.8) -> DataFrame:
@@ -94,12 +127,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "id", text_col: str = "text"
 
     Texts of fewer than ``least_words`` words are never duplicates and never originals.
     """
-    words = F.size(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    long_enough = df.select(F.col(id_col).alias("id"), F.when(words >= least_words, F.col(text_col)).alias("__t"))
-    signed = materialize(signatures(long_enough, "id", F.col("__t")), "signatures")
+    signed = sign_long(df, id_col, text_col, least_words)
     reps = materialize(signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id")).select("id", "sig"), "representatives")
     pairs = materialize(similar_pairs(reps, least), "pairs")
-    kept = first_kept(reps, pairs)
+    kept = materialize(first_kept(reps, pairs), "kept")
     best = pairs.join(kept.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("rep")).agg(F.min_by("a", F.struct(-F.col("similarity"), F.col("a"))).alias("orig"))
     of = reps.join(kept, "id").join(best, F.col("id") == F.col("rep"), "left").select("sig", F.col("id").alias("rep"), F.when(F.col("kept"), F.col("id")).otherwise(F.col("orig")).alias("to"))
     return signed.join(of, "sig", "left").select("id", F.when(F.col("to") != F.col("id"), F.col("to")).alias("original"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithoframe.operators import communities
 from lithoframe.operators import graph as G
 from lithoframe.plans.catalog import query
 from lithoframe.plans.views import FACTS, facts, table
@@ -134,6 +135,10 @@ def components(spark, sf_dir):
     return G.connected_components(facts(spark, sf_dir), "src", "dst")
 
 
+def _weak_edges(spark, sf_dir):
+    return facts(spark, sf_dir).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count_distinct("doc_id").alias("weight"))
+
+
 @query()
 def graph_clusters(spark, sf_dir):
     e = facts(spark, sf_dir).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count_distinct("doc_id").alias("weight"))
@@ -149,3 +154,11 @@ def modularity(spark, sf_dir):
     e = facts(spark, sf_dir).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count_distinct("doc_id").alias("weight"))
     ends = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return G.modularity(e, ends.withColumn("cluster", F.substring("node", 2, 20).cast("int") % 4))
+
+
+@query()
+def graph_communities(spark, sf_dir):
+    """Communities of at least three names by modularity, over every fact, with titles."""
+    e = _weak_edges(spark, sf_dir)
+    found = communities.communities(e)
+    return found.join(communities.titles(e, found).select("cluster", "title"), "cluster").select("node", "cluster", "size", "title")

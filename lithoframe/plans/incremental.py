@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithoframe.operators.growing import ComponentIndex, CopyIndex
 from lithoframe.plans.catalog import query
 from lithoframe.plans.scratch import new_path
 from lithoframe.plans.views import FACTS, facts, table
@@ -67,3 +68,23 @@ def warm_queue(spark, sf_dir):
     asked = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(name("user_id")).agg(F.count("*").alias("times"))
     mentioned = table(spark, sf_dir, "orders").groupBy(name("o_custkey")).agg(F.count("*").alias("docs"))
     return P.warm_queue(asked, mentioned, 300)
+
+
+@query(f"WITH RECURSIVE {FACTS}, e AS (SELECT DISTINCT src AS a, dst AS b FROM facts), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT w.node, x.b FROM walk w JOIN both_ x ON x.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY node")
+def growing_components(spark, sf_dir):
+    """Components of the facts, which come in three batches of documents."""
+    index, f = ComponentIndex(spark, new_path(spark, "components")), facts(spark, sf_dir)
+    for number in range(3):
+        index.add(f.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == number), "src", "dst")
+    return index.current()
+
+
+@query()
+def growing_near_duplicates(spark, sf_dir):
+    """Every document with the registered one that it nearly repeats; documents come in four batches by id."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index, last, out = CopyIndex(spark, new_path(spark, "copies")), docs.agg(F.max("id")).first()[0] or 0, None
+    for number in range(4):
+        part = index.add(docs.where(F.floor(F.col("id") * 4 / (last + 1)) == number))
+        out = part if out is None else out.unionByName(part)
+    return out

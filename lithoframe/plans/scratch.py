@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -54,3 +55,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int) -> str:
+    """Name of a table stored under ``path`` in buckets of ``keys``; what is stored there already is part of it.
+
+    A join on the keys reads such a table in place: only the other side is shuffled.
+    """
+    name = "stored_" + hashlib.md5(path.encode(), usedforsecurity=False).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def append(df: DataFrame, name: str) -> None:
+    """Add rows to a table of `bucketed_table`."""
+    df.select(df.sparkSession.table(name).columns).write.insertInto(name)
