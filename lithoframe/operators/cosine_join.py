@@ -28,7 +28,7 @@ from lithoframe.operators.vector_index import unit_rows
 from lithoframe.plans.scratch import materialize
 
 #: Rows wanted in a bucket, rows of a bucket that one part takes, and words of 64 signs in a sketch.
-BUCKET, CROWD, WORDS = 32, 2048, 4
+BUCKET, CROWD, WORDS = 64, 2048, 2
 
 
 def plan_bands(rows: int, least: float, miss: float) -> tuple[int, int]:
@@ -75,15 +75,18 @@ def _signs(rows: DataFrame, bits: int, bands: int) -> DataFrame:
 def candidates(rows: DataFrame, least: float, miss: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows (id, v) that share a bucket and whose sketches are close enough."""
     bits, bands = plan_bands(rows.count(), least, miss)
-    signs = materialize(_signs(rows, bits, bands), "signs")
-    keyed = signs.select("id", "sketch", F.posexplode("keys").alias("band", "key"))
-    crowded = materialize(keyed.groupBy("band", "key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1"), "crowded")
-    parts = keyed.join(crowded, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    x = parts.select("band", "key", F.col("id").alias("a"), F.col("sketch").alias("s"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    y = parts.select("band", "key", F.col("id").alias("b"), F.col("sketch").alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    apart = sum((F.bit_count(F.col("s")[k].bitwiseXOR(F.col("t")[k])) for k in range(WORDS)), F.lit(0))
-    met = x.join(y, ["band", "key", "part"]).where((F.col("a") < F.col("b")) & (apart <= sketch_limit(least)))
-    return met.select("a", "b").distinct()
+    signs = materialize(_signs(rows, bits, bands).withColumn("n", F.monotonically_increasing_id()), "signs")
+    keyed = signs.select("n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)], F.posexplode("keys").alias("band", "key"))
+    keyed = keyed.select(F.xxhash64("band", "key").alias("bucket"), "n", *[f"s{k}" for k in range(WORDS)])
+    crowded = materialize(keyed.groupBy("bucket").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1"), "crowded")
+    parts = keyed.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = parts.select("bucket", F.col("n").alias("a"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(WORDS)], F.pmod(F.xxhash64("n"), F.col("parts")).cast("int").alias("part"))
+    y = parts.select("bucket", F.col("n").alias("b"), *[F.col(f"s{k}").alias(f"y{k}") for k in range(WORDS)], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WORDS)), F.lit(0))
+    met = x.join(y, ["bucket", "part"]).where((F.col("a") < F.col("b")) & (apart <= sketch_limit(least))).select("a", "b").distinct()
+    ids = signs.select("n", "id")
+    named = met.join(ids.select(F.col("n").alias("a"), F.col("id").alias("p")), "a").join(ids.select(F.col("n").alias("b"), F.col("id").alias("q")), "b")
+    return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def cosine_join(rows: DataFrame, least: float, miss: float = 0.001) -> DataFrame:

@@ -148,7 +148,7 @@ def test_cosine_join_finds_pairs_without_all_pairs(spark, monkeypatch):
 
 
 def test_bands_follow_rows_and_recall():
-    assert C.plan_bands(10**9, 0.8, 0.1)[0] == 25
+    assert C.plan_bands(64 * 2**20, 0.8, 0.1)[0] == 20
     for rows in (100, 10**5, 10**9):
         bits, bands = C.plan_bands(rows, 0.8, 0.01)
         agree = (1 - np.arccos(0.8) / np.pi) ** bits
