@@ -190,16 +190,7 @@ def _best_pair(alive: list[int], left: dict[int, int], above: int, most: int) ->
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Bin contents (length -> pieces) and how many bins are filled so.
-
-    Best-two-fit on counts.  Where lengths are few, replacing can spend the small
-    pieces that later bins lack; the greedy fill alone is then used if it needs
-    fewer bins.
-    """
-    return min((_fill(histogram, capacity, two) for two in (True, False)), key=lambda bins: sum(t for _, t in bins))
-
-
-def _fill(histogram: dict[int, int], capacity: int, two: bool) -> list[tuple[dict[int, int], int]]:
+    """Bin contents (length -> pieces) and how many bins are filled so: best-two-fit on counts."""
     left = {n: c for n, c in histogram.items() if c > 0}
     alive = sorted(left)
     out: list[tuple[dict[int, int], int]] = []
@@ -219,7 +210,7 @@ def _fill(histogram: dict[int, int], capacity: int, two: bool) -> list[tuple[dic
             k = min(left[alive[at]], gap // alive[at])
             take(alive[at], k)
             gap -= k * alive[at]
-        while two and gap:
+        while gap:
             least = min(taken)
             unpacked = [n for n in alive if left[n]]
             pair = _best_pair(unpacked, left, least, least + gap)

@@ -96,6 +96,33 @@ def test_plan_covers_the_histogram():
     assert sum(t for _, t in bins) <= least * 1.02 + 1
 
 
+def fewest_bins(sizes, capacity):
+    """By trying every place for every piece, largest first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for at in range(len(bins)):
+            if bins[at] + sizes[k] <= capacity and bins[at] not in bins[:at]:
+                place(k + 1, [*bins[:at], bins[at] + sizes[k], *bins[at + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_is_within_one_bin_of_the_fewest_on_small_sets():
+    r = random.Random(12)
+    for _ in range(150):
+        sizes = [r.randrange(1, 61) for _ in range(r.randrange(1, 11))]
+        histogram = {n: sizes.count(n) for n in sizes}
+        assert sum(t for _, t in P.plan_bins(histogram, 60)) <= fewest_bins(sizes, 60) + 1
+
+
 def edit_distance_to_substring(p, t):
     row = list(range(len(p) + 1))
     best = row[-1]
