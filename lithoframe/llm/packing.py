@@ -36,6 +36,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from lithoframe.llm.common import collector_paused, materialize, small_batches, table
 
+#: A gap of at most 1 / SLACK of a sequence is tight: nothing is replaced for it, which
+#: would only spend the pairs that wider gaps need.
+SLACK = 128
 #: Pieces of one length that are ranked together.
 BUCKET_ROWS = 512
 #: Distinct chunks after which a Python worker starts a new memory; it keeps the one before (about 200 bytes a chunk).
@@ -171,21 +174,28 @@ def tokenize_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id
 
 
 def _best_pair(alive: list[int], left: dict[int, int], above: int, most: int) -> tuple[int, int] | None:
-    """Two unpacked lengths with the largest sum in (above, most], by two pointers."""
+    """Two unpacked lengths with the largest sum in (above, most], the most even such pair.
+
+    The search goes outwards from half the sum, so that the shortest pieces, which
+    later bins need for their last gaps, are not spent first.
+    """
     best, found = above, None
-    i, j = 0, bisect_right(alive, most) - 1
-    while i <= j:
+    i = bisect_right(alive, most // 2) - 1
+    j = i
+    if i >= 0 and left[alive[i]] < 2:
+        j = i + 1
+        if i and alive[i - 1] + alive[i] > best:
+            best, found = alive[i - 1] + alive[i], (alive[i - 1], alive[i])
+    while i >= 0 and j < len(alive):
         total = alive[i] + alive[j]
-        if total > most or (i == j and left[alive[i]] < 2):
-            if i == j:
-                break
-            j -= 1
+        if total > most:
+            i -= 1
             continue
         if total > best:
             best, found = total, (alive[i], alive[j])
             if best == most:
                 break
-        i += 1
+        j += 1
     return found
 
 
@@ -210,7 +220,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int,
             k = min(left[alive[at]], gap // alive[at])
             take(alive[at], k)
             gap -= k * alive[at]
-        while gap:
+        while gap > capacity // SLACK:
             least = min(taken)
             unpacked = [n for n in alive if left[n]]
             pair = _best_pair(unpacked, left, least, least + gap)
