@@ -60,6 +60,13 @@ def test_kinds_of_questions(spark):
     assert [r.l for r in got] == [False, False, False, True, False]
 
 
+def test_kinds_of_odd_questions(spark):
+    rows = ["В каком районе нашли золото?", "Какие минералы есть?", "Какая руда? Какая свита?", "Чем различаются свиты?", "Что контролирует оруденение?", "Где встречается уран?", "Где живут птицы и что едят?", "", None, "руда"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(Q.is_narrow(F.col("t")).alias("n"), Q.about_links(F.col("t")).alias("l")).collect()
+    assert [r.n for r in got] == [True, False, False, False, False, True, False, False, False, False]
+    assert [r.l for r in got] == [False, False, False, False, True, True, False, False, False, False]
+
+
 def test_spellings_and_topics(spark):
     s = spark.createDataFrame([("a", 0, "золото"), ("a", 1, "gold"), ("b", 0, "donetsk basin"), ("b", 1, "donbass")], "group string, ord int, spelling string")
     q = spark.createDataFrame([(1, "Золото: Donetsk basin, север"), (2, "nothing")], "id int, text string")
