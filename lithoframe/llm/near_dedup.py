@@ -33,7 +33,6 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,10 +127,10 @@ def _keys(fp: Column, plan: list[tuple[int, int, int]]) -> Column:
     return F.concat(*parts)
 
 
-def _forest(group: pd.DataFrame, radius: int) -> pd.DataFrame:
+def _forest(group: pa.Table, radius: int) -> pa.Table:
     """A spanning forest of the links among a block pair's fingerprints."""
-    rest = np.unique(group["fp"].to_numpy(np.int64)).view(np.uint64)
-    out: list[tuple[np.ndarray, int]] = []
+    rest = np.unique(group.column("fp").to_numpy()).view(np.uint64)
+    out: list[tuple[np.ndarray, np.uint64]] = []
     while len(rest):
         todo, rest = [rest[-1]], rest[:-1]
         while todo and len(rest):
@@ -141,11 +140,9 @@ def _forest(group: pd.DataFrame, radius: int) -> pd.DataFrame:
                 out.append((rest[near], one))
                 todo.extend(rest[near])
                 rest = rest[~near]
-    if not out:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    a = np.concatenate([x for x, _ in out])
+    a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.uint64)
     b = np.repeat(np.array([y for _, y in out], np.uint64), [len(x) for x, _ in out])
-    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
 def links(distinct: DataFrame, radius: int = 4, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
@@ -167,7 +164,7 @@ def links(distinct: DataFrame, radius: int = 4, plan: list[tuple[int, int, int]]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.join(heavy, ["seg", "key"]).withColumn("__b", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     pairs = dealt.select("seg", "key", F.least("__b", "__o").alias("lo"), F.greatest("__b", "__o").alias("hi"), "fp")
-    found = pairs.groupBy("seg", "key", "lo", "hi").applyInPandas(lambda g: _forest(g, radius), "a long, b long")
+    found = pairs.groupBy("seg", "key", "lo", "hi").applyInArrow(lambda t: _forest(t, radius), "a long, b long")
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(found)
 
 
