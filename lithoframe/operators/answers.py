@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.text import collapse, first_reason, let, name_key, name_problem
-from lithoframe.operators.linking import _words, mentions
+from lithoframe.operators.dictionary import key_words
+from lithoframe.operators.linking import mentions
 from lithoframe.operators.upkeep import rejection_notes, save_facts
 from lithoframe.operators.words import clean_name, clean_relation
 
@@ -35,7 +36,7 @@ def checked_facts(rows: DataFrame, chunks: DataFrame, *, read: int = 40, most: i
     quotes = [F.get("spans", F.lit(i)) for i in range(len(spans))]
     named = both.withColumn("quote", F.coalesce(*[F.when(mentions(F.col("src"), q) & mentions(F.col("dst"), q), q) for q in quotes])).drop("spans")
     half = lambda c: F.rlike(c, F.lit(_CYRILLIC)) & ~F.rlike("quote", F.lit(_CYRILLIC))
-    words = F.size(_words(F.col("relation")))
+    words = F.size(key_words(F.col("relation")))
     rules = [("relation", ~words.between(1, 6)), ("self", name_key(F.col("src")) == name_key(F.col("dst"))), ("no sentence", ~F.col("inside")), ("not in quote", F.col("quote").isNull()), ("half translated", half("src") | half("dst"))]
     marked = named.withColumn("reason", F.coalesce(name_problem(F.col("src")), name_problem(F.col("dst")), first_reason(rules)))
     keys = [name_key(F.col("src")).alias("src_key"), F.col("relation"), name_key(F.col("dst")).alias("dst_key")]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.text import collapse, first_reason
+from lithoframe.operators.dictionary import find_entries, key_words
 from lithoframe.operators.graph import closure
 
 #: Cues of claim features in English, as regular expressions without case.
@@ -65,19 +66,10 @@ def support(valid: Column, ends_named: Column, positional: Column, votes: Column
 def find_areas(texts: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, area_id, alias) of every alias that a text names; aliases inside a longer one that the text also names are left out.
 
-    Aliases are keyed by their words: a text's runs of one to four words are
-    joined with them, so neither side is compared with all of the other.
+    Aliases are compared by their words, up to four of them.
     """
-    words = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w"))
-    runs = words.select("id", F.posexplode("w").alias("at", "first"), "w").select("id", "at", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), "w").where(F.col("at") + F.col("n") <= F.size("w"))
-    keyed = runs.select("id", "at", "n", F.array_join(F.call_function("slice", "w", F.col("at") + 1, F.col("n")), " ").alias("key"))
-    names = aliases.select(F.array_join(F.regexp_extract_all(F.lower("alias"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ").alias("key"), "area_id", "alias")
-    # An alias of several areas is one hit until the longest hits are known.
-    hits = keyed.join(names, "key").groupBy("id", "at", "n").agg(F.collect_set(F.struct("area_id", "alias")).alias("areas"))
-    w = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = hits.withColumn("__reach", F.max(F.col("at") + F.col("n")).over(w))
-    longest = ends.where(F.col("__reach").isNull() | (F.col("at") + F.col("n") > F.col("__reach")))
-    return longest.select("id", F.inline("areas")).select("id", "area_id", "alias").distinct()
+    keyed = aliases.select(F.array_join(key_words(F.lower("alias")), " ").alias("key"), "area_id", "alias")
+    return find_entries(texts, keyed, id_col=id_col, text_col=text_col, longest=4).select("id", "area_id", "alias").distinct()
 
 
 def area_closure(areas: DataFrame) -> DataFrame:

@@ -9,29 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.text import first_reason, jaccard, let, name_key
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
-def word_runs(texts: DataFrame, *, id_col: str = "id", text_col: str = "text", longest: int = 5) -> DataFrame:
-    """(id, at, n, key): every run of up to ``longest`` lower-cased words."""
-    words = texts.select(F.col(id_col).alias("id"), _words(F.lower(text_col)).alias("w"))
-    at = words.select("id", "w", F.posexplode("w").alias("at", "__x")).select("id", "w", "at", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.col("at") + F.col("n") <= F.size("w"))
-    return at.select("id", "at", "n", F.array_join(F.call_function("slice", "w", F.col("at") + 1, F.col("n")), " ").alias("key"))
+from lithoframe.operators.dictionary import find_entries, key_words
 
 
 def link_terms(texts: DataFrame, terms: DataFrame, *, id_col: str = "id", text_col: str = "text", longest: int = 5) -> DataFrame:
-    """(id, at, n, key, term) of dictionary terms in texts, joined on their words.
+    """(id, at, n, key, term) of dictionary terms in texts.
 
     ``terms`` has key (lower-cased words) and term.  A hit inside a longer one
     that begins no later is left out, so the longest match wins.
     """
-    hits = word_runs(texts, id_col=id_col, text_col=text_col, longest=longest).join(terms.select("key", "term"), "key")
-    w = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    reach = hits.withColumn("__r", F.max(F.col("at") + F.col("n")).over(w))
-    return reach.where(F.col("__r").isNull() | (F.col("at") + F.col("n") > F.col("__r"))).select("id", "at", "n", "key", "term")
+    return find_entries(texts, terms.select("key", "term"), id_col=id_col, text_col=text_col, longest=longest)
 
 
 def follow(terms: DataFrame, see: DataFrame, hops: int = 2) -> DataFrame:
@@ -59,9 +46,9 @@ def mentions(name: Column, text: Column) -> Column:
     Words are compared by their stems' keys.
     """
     low = F.lower(text)
-    whole = F.contains(F.concat(F.lit(" "), F.array_join(_words(low), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(_words(F.lower(name)), " "), F.lit(" ")))
+    whole = F.contains(F.concat(F.lit(" "), F.array_join(key_words(low), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(key_words(F.lower(name)), " "), F.lit(" ")))
     have = F.split(name_key(text), " ")
-    words = F.filter(_words(name), lambda w: F.length(w) >= 3)
+    words = F.filter(key_words(name), lambda w: F.length(w) >= 3)
     missing = let(have, lambda h: F.filter(words, lambda w: ~F.exists(h, lambda x: F.startswith(x, name_key(w)))))
     common = F.forall(missing, lambda w: ~F.rlike(w, F.lit(r"^[\p{Lu}\p{N}]")))
     return whole | ((F.size(words) >= 3) & (F.size(missing) <= 1) & common)
@@ -95,7 +82,7 @@ def match_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def fuzzy_repeat(query: Column, done: Column, least: float = 0.6) -> Column:
     """True if the query shares enough words with any of those already asked."""
-    words = lambda c: F.array_distinct(_words(F.lower(c)))
+    words = lambda c: F.array_distinct(key_words(F.lower(c)))
     return let(words(query), lambda q: F.exists(done, lambda d: jaccard(q, words(d)) >= least))
 
 
@@ -112,7 +99,7 @@ def author_overlap(documents: DataFrame, least: float = 0.5) -> DataFrame:
 
 def vote_matches(answer: Column, name: Column, stem: int = 5) -> Column:
     """True if an answer names a thing: half of its words' first letters, or one set inside the other."""
-    stems = lambda c: F.array_distinct(F.transform(_words(F.lower(c)), lambda w: F.substring(w, 1, stem)))
+    stems = lambda c: F.array_distinct(F.transform(key_words(F.lower(c)), lambda w: F.substring(w, 1, stem)))
     return let(stems(answer), lambda a: let(stems(name), lambda n: (F.size(n) > 0) & ((F.size(F.array_intersect(a, n)) >= 0.5 * F.size(n)) | ((F.size(a) > 0) & (F.size(F.array_except(a, n)) == 0)))))
 
 

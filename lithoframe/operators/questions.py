@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.text import collapse, first_reason, translit_key
-from lithoframe.operators.linking import _words, word_runs
+from lithoframe.operators.dictionary import find_entries, key_words
 
 # The cues of a question's quantifier, polarity and mode; types of
 # deposits and stages.
@@ -58,12 +58,12 @@ def _has(text: Column, pattern: str) -> Column:
 
 
 def _key(text: Column) -> Column:
-    return F.array_join(_words(F.lower(text)), " ")
+    return F.array_join(key_words(F.lower(text)), " ")
 
 
 def _beginnings(text: Column) -> Column:
     """The first five letters of each word of four letters or more."""
-    return F.transform(F.filter(_words(F.lower(text)), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 5))
+    return F.transform(F.filter(key_words(F.lower(text)), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 5))
 
 
 def _begins(word: Column, beginnings: Sequence[str]) -> Column:
@@ -82,7 +82,7 @@ def is_narrow(question: Column) -> Column:
     which things hold something; it has one question mark at most, no second question
     joined by "and" and no word that asks for a comparison or an account.
     """
-    words = _words(F.lower(question))
+    words = key_words(F.lower(question))
     opening = F.when(F.get(words, F.lit(0)).isin(*PREPOSITIONS), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
     holds = F.get(words, F.lit(0)).isin(*ASKING_MANY) & F.exists(F.slice(words, 2, 12), lambda w: _begins(w, HOLDING))
     second = _followed(words, ("и", "а", "также"), lambda w: w.isin(*ASKING_ONE, *ASKING_MANY, *ASKING_OTHER), 1)
@@ -92,7 +92,7 @@ def is_narrow(question: Column) -> Column:
 
 def about_links(question: Column) -> Column:
     """A question for what something is linked with, in Russian: a word that asks, then a word of linking among the next five."""
-    words = _words(F.lower(question))
+    words = key_words(F.lower(question))
     return F.coalesce(_followed(words, ("чем", "что", *ASKING_MANY), lambda w: _begins(w, LINKING), 5) | _followed(words, ("где",), lambda w: F.startswith(w, F.lit("встреча")), 1), F.lit(False))
 
 
@@ -118,8 +118,7 @@ def resolve_entities(questions: DataFrame, names: DataFrame, *, longest: int = 5
     """
     spelled = names.select("entity", "spelling", _key(F.col("spelling")).alias("key")).where("key <> ''").distinct()
     hinted = questions.select("id", _key(F.col("hint")).alias("key")).join(spelled, "key").select("id", "entity", F.lit(0).alias("rank"))
-    runs = word_runs(questions, longest=longest).select("id", "key").distinct()
-    met = runs.join(spelled.where(F.length("spelling") >= 4), "key").select("id", "entity", "spelling")
+    met = find_entries(questions, spelled.where(F.length("spelling") >= 4), longest=longest, widest=False).select("id", "entity", "spelling").distinct()
     wanted = questions.select("id", F.coalesce(_beginnings(F.col("hint")), F.array().cast("array<string>")).alias("want"))
     fits = (F.size("want") == 0) | F.arrays_overlap("want", _beginnings(F.col("spelling")))
     named = met.join(wanted, "id").where(fits).select("id", "entity", F.lit(1).alias("rank"))
@@ -155,9 +154,9 @@ def spelling_variants(queries: DataFrame, spellings: DataFrame, most: int = 6, *
     ord; equal texts count once.
     """
     s = spellings.select("group", "ord", _key(F.col("spelling")).alias("key")).where("key <> ''")
-    held = word_runs(queries, longest=longest).join(s, "key").groupBy("id", "group").agg(F.min(F.struct("ord", "at", "n", "key")).alias("h"))
+    held = find_entries(queries, s, longest=longest, widest=False).groupBy("id", "group").agg(F.min(F.struct("ord", "at", "n", "key")).alias("h"))
     others = held.join(s.withColumnRenamed("key", "other"), "group").where(F.col("other") != F.col("h.key"))
-    words = queries.select("id", _words(F.lower("text")).alias("w"))
+    words = queries.select("id", key_words(F.lower("text")).alias("w"))
     cut = lambda a, n: F.call_function("slice", "w", a, n)
     at, n = F.col("h.at"), F.col("h.n")
     text = F.array_join(F.concat(cut(F.lit(1), at), F.array("other"), cut(at + n + 1, F.greatest(F.size("w") - at - n, F.lit(0)))), " ")

@@ -14,13 +14,13 @@ from lithoframe.plans.views import CHUNKS, FACTS, chunks, facts, table
 
 _TERMS = "terms AS (SELECT DISTINCT key, key AS term FROM (SELECT unnest(['the', 'of the', 'in the', 'that', 'and', 'is of', 'to the and']) AS key))"
 _LIST = ("the", "of the", "in the", "that", "and", "is of", "to the and")
-_RUNS = r"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE lang = 'en'), p AS (SELECT id, w, unnest(range(len(w))) AS at_ FROM w), n AS (SELECT id, at_, k AS n, array_to_string(list_slice(w, at_ + 1, at_ + k), ' ') AS key FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE at_ + k <= len(w)),
+_RUNS = r"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT id, w, unnest(range(len(w))) AS at_ FROM w), n AS (SELECT id, at_, k AS n, array_to_string(list_slice(w, at_ + 1, at_ + k), ' ') AS key FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE at_ + k <= len(w)),
 h AS (SELECT n.*, t.term FROM n JOIN terms t ON t.key = n.key), r AS (SELECT *, max(at_ + n) OVER (PARTITION BY id ORDER BY at_, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h), l AS (SELECT id, at_, n, term FROM r WHERE reach IS NULL OR at_ + n > reach)"""
 
 
 def _links(spark, sf_dir):
     terms = spark.createDataFrame([(t, t) for t in _LIST], "key string, term string")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return L.link_terms(docs, terms)
 
 
@@ -36,7 +36,7 @@ def enough_terms(spark, sf_dir):
 
 @query(f"WITH {_TERMS}, {_RUNS} SELECT term, count(DISTINCT id) AS texts FROM l GROUP BY term HAVING count(DISTINCT id) <= 0.5 * (SELECT count(*) FROM w)")
 def rare_terms(spark, sf_dir):
-    total = table(spark, sf_dir, "documents").where("lang = 'en'").count()
+    total = table(spark, sf_dir, "documents").count()
     return L.rare_terms(_links(spark, sf_dir), total, 0.5)
 
 
