@@ -341,21 +341,32 @@ def fit(w: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, rate:
     """
     f32 = np.float32
     lanes = max(1, min(lanes, len(tokens) // (steps * UPDATES)))
-    length = len(tokens) // lanes
+    length, more = divmod(len(tokens), lanes)
     if not length:
         return w
-    grid = tokens[: lanes * length].reshape(lanes, length).T
+    # the first lanes hold one token more than the rest, so that every token trains
+    begin = np.arange(lanes) * length + np.minimum(np.arange(lanes), more)
+    at = np.arange(length)[:, None] + begin
     first = np.zeros(len(tokens), bool)
     first[starts[:-1]] = True
-    fresh = first[: lanes * length].reshape(lanes, length).T.copy()
+    grid, fresh = tokens[at], first[at]
     fresh[0] = True
+    windows = [(grid[t : t + steps], fresh[t : t + steps]) for t in range(0, length, steps)]
+    if more:
+        at = begin[:more][None] + length
+        windows.append((tokens[at], first[at]))
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     h, last = np.zeros((lanes, HIDDEN), f32), np.zeros(lanes, np.int64)
-    for k, t in enumerate(range(0, length, steps), 1):
-        part = np.ascontiguousarray(grid[t : t + steps])
-        g, h, _ = window_gradients(w, h, last, part, fresh[t : t + steps])
+    for k, (part, new) in enumerate(windows, 1):
+        now = part.shape[1]
+        g, h, _ = window_gradients(w, h[:now], last[:now], np.ascontiguousarray(part), new)
         last = part[-1]
+        if now < lanes:
+            # the last tokens count as many as they are
+            share = f32(part.size / (lanes * steps))
+            for d in g.values():
+                d *= share
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         clip = f32(min(1.0, 1.0 / (size + 1e-9)))
         for name, d in g.items():

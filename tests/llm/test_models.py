@@ -156,6 +156,23 @@ def test_model_learns_order():
     assert after > before * 0.3
 
 
+def test_every_token_moves_the_weights():
+    w = M.first_weights(vocabulary([(k + 1, 0, 100) for k in range(10)]))
+    size = 10_007
+    lanes = size // (8 * M.UPDATES)
+    assert size % lanes
+    ends = np.cumsum([len(x) for x in np.array_split(np.arange(size), lanes)])
+    tokens = np.resize([1, 2, 3, 4, 0], size)
+    starts = np.r_[np.arange(0, size, 5), size]
+    trained = M.fit(w, tokens, starts, 0.02)
+    for end in (ends[0], ends[size % lanes - 1], ends[size % lanes], size):
+        other = tokens.copy()
+        other[end - 1] = 5
+        assert any((trained[k] != x).any() for k, x in M.fit(w, other, starts, 0.02).items())
+    few = M.fit(w, tokens[:3], np.array([0, 3]), 0.02)
+    assert any((few[k] != x).any() for k, x in w.items())
+
+
 def test_counts_beyond_32_bits():
     blob = lambda kind, *x: np.array(x, kind).tobytes()
     sent = [(0, blob("<u8", 5, 9), blob("u1", 1, 2), blob("<u8", 3 * 2**30, 1)), (1, blob("<u8", 5), blob("u1", 1), blob("<u8", 3 * 2**30))]
