@@ -7,7 +7,7 @@ or a partitioned aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,19 +119,21 @@ def _fetched(top: DataFrame) -> DataFrame:
 
 
 def hybrid_search(
-    vectors: DataFrame, texts: DataFrame, vector: Sequence[float], query: Sequence[str], *, limit: int = 10, candidates: int = 50, k: int = 60, max_per_doc: int = 2, min_similarity: float = 0.0, require_words: bool = False
+    vectors: DataFrame, texts: DataFrame | Callable[[int, bool], DataFrame], vector: Sequence[float], query: Sequence[str], *, limit: int = 10, candidates: int = 50, k: int = 60, max_per_doc: int = 2, min_similarity: float = 0.0, require_words: bool = False
 ) -> DataFrame:
     """Vector and keyword candidates fused by reciprocal rank, filtered, capped per document.
 
-    ``vectors`` (id, doc_id, embedding) and ``texts`` (id, doc_id, text).  With
-    no strict match and at least three words, keyword search falls back to any
+    ``vectors`` (id, doc_id, embedding) and ``texts`` (id, doc_id, text), or instead of
+    texts a function of (k, any_word) that gives the top k of the keyword search (id,
+    doc_id, pos), from an index, say.  With no strict match and at least three words, keyword search falls back to any
     word.  Columns: id, doc_id, score, similarity, found_by, place.
     """
+    keywords = texts if callable(texts) else lambda k, any_word: text_search(texts, query, k, any_word=any_word)
     near = _fetched(vector_search(vectors, vector, candidates))
-    words = _fetched(text_search(texts, query, candidates))
+    words = _fetched(keywords(candidates, False))
     strict = True
     if len(query) >= 3 and not words.count():
-        words, strict = _fetched(text_search(texts, query, candidates, any_word=True)), False
+        words, strict = _fetched(keywords(candidates, True)), False
     score = rrf([near, words], k=k)
     both = score.join(F.broadcast(near.select("id", F.col("doc_id").alias("__d1"), "similarity")), "id", "left").join(F.broadcast(words.select("id", F.col("doc_id").alias("__d2"), F.lit(strict).alias("strict"))), "id", "left")
     found = F.when(F.col("__d1").isNotNull() & F.col("__d2").isNotNull(), "both").when(F.col("__d1").isNotNull(), "vector").otherwise("text")

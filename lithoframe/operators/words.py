@@ -68,13 +68,15 @@ def _phrase(index: DataFrame, phrase: Sequence[str]) -> DataFrame:
 def search_index(index: DataFrame, query: Query, k: int) -> DataFrame:
     """The top ``k`` ids with score: the sum over groups of hits / (hits + 1), ties by id.
 
-    A query without words or phrases finds nothing.
+    A query without words or phrases finds nothing.  An index with a column ``hits``
+    is read without its positions, unless there are phrases.
     """
+    times = F.col("hits") if "hits" in index.columns else F.size("positions")
     groups = [*query.groups, *[(w,) for p in query.phrases for w in p]]
     if not groups:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     rows = index.where(F.col("word").isin(*{w for g in groups for w in g}))
-    hits = [F.sum(F.when(F.col("word").isin(*g), F.size("positions")).otherwise(0)).alias(f"h{i}") for i, g in enumerate(groups)]
+    hits = [F.sum(F.when(F.col("word").isin(*g), times).otherwise(0)).alias(f"h{i}") for i, g in enumerate(groups)]
     found = rows.groupBy("id").agg(*hits)
     tests = [F.col(f"h{i}") > 0 for i in range(len(groups))]
     free = tests[: len(query.groups)]

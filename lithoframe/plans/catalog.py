@@ -15,7 +15,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 FLAGSHIP = "hybrid_search"
 
-_MODULES = ("retrieval", "relational", "text_columns", "near_copies", "fact_graph", "decisions", "statistics", "incremental", "links", "upkeep", "questions", "vectors")
+_MODULES = ("retrieval", "relational", "text_columns", "near_copies", "fact_graph", "decisions", "statistics", "incremental", "links", "upkeep", "questions", "vectors", "names")
 
 
 def query(sql: str | None = None):
