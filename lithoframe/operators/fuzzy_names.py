@@ -11,8 +11,8 @@ Keys of more than `LONG` letters together would have too many pieces and places.
 meet by runs of two or three letters instead: keys that must share some of their runs
 share one of the first in any fixed order.
 
-Pairs of a piece are dropped in the join where a 128-bit parity of the letters proves
-more than D unmatched ones; what is left is verified.  Equal keys are one row, so copies
+Pairs of a piece are dropped in the join where a 128-bit parity of the letters, or then
+the edit distance, proves more than D unmatched ones; what is left is verified.  Equal keys are one row, so copies
 make no pairs.  Crowded pieces are split: one side is dealt to parts of `CROWD` rows, the
 other is sent to all of them.
 
@@ -155,7 +155,8 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     letters = F.col("a_n") + F.col("b_n")
     spare = letters - 2 * F.ceil(F.lit(least) * letters / 2 - 1e-9)
     apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
-    return x.join(y, ["point", "part"]).where(apart <= spare).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    edits = F.call_function("levenshtein", "a_key", "b_key", spare.cast("int"))
+    return x.join(y, ["point", "part"]).where(apart <= spare).where(edits >= 0).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
 
 
 def alike_keys(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
@@ -167,7 +168,8 @@ def alike_keys(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFr
     if not LOWEST <= least <= 1:
         raise ValueError(f"least must lie between {LOWEST} and 1")
     one, two = (df.select("key").where("key <> ''").distinct() for df in (left, right))
-    found = candidates(one, two, least)
+    # Written first: the test of the likeness would otherwise go below the distinct and see a pair once for each piece.
+    found = materialize(candidates(one, two, least), "candidates")
     return found.withColumn("ratio", ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
 
 
