@@ -35,6 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group linked by a Jaccard similarity of 0.8 on 5-word shingles.
 
+    Links are searched among SimHash codes by multi-index hashing and verified exactly.
+
     Empty texts are one group; of rows equal in id and text one stays, of rows that
     share an id one for each group; rows without an id all stay.
     """
@@ -69,7 +71,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("5-word shingle near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", packing),

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from lithoframe.llm import near_dedup as N
 from tests.llm.corpus import documents, edge_frames, frame, sentence
 
@@ -99,3 +102,26 @@ def test_rows_that_share_an_id_are_told_apart_by_text(spark):
     for keep in (N.keep_one_of_similar, N.keep_one_of_each):
         kept = sorted(tuple(r) for r in keep(frame(spark, rows)).collect())
         assert kept == sorted([(3, a), (7, b), (7, ""), (8, rows[3][1])]), keep
+
+
+def test_candidates_come_from_simhash_codes_by_segments(monkeypatch):
+    """The codes of `similar_groups` are SimHash: close for similar sets, far for others, one segment at least in common."""
+    r = np.random.default_rng(5)
+    base = r.integers(-(2**63), 2**63, 400)
+    sets = [base, np.r_[base[:356], r.integers(-(2**63), 2**63, 44)], r.integers(-(2**63), 2**63, 400), base[:3], base[:0], base[:4], base[:5]]
+    lists = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), lists], ["id", "__key", "__set"])
+    width, count, words = N.code_segments(200_000)
+
+    def codes():
+        return next(N._set_codes(iter([batch]), words, 0.8)).column("code").to_pylist()
+
+    whole = codes()
+    monkeypatch.setattr(N, "COUNTED", 33)
+    assert codes() == whole
+    # sets of three and none are similar to no other set
+    assert [len(c) for c in whole] == [words, words, words, 0, 0, words, words]
+    bits = [[c[k // (64 // width)] >> (k % (64 // width) * width) & ((1 << width) - 1) for k in range(count)] for c in (whole[0], whole[1])]
+    assert any(a == b for a, b in zip(*bits))
+    apart = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(whole[a], whole[b])) / (64 * words)
+    assert apart(0, 1) < 0.22 and 0.4 < apart(0, 2) < 0.6
