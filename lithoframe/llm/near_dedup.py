@@ -49,15 +49,15 @@ BLOCK = 4096
 #: A comparison's cost as a share of a listing's.
 MATCH_COST = 0.05
 #: Of `similar_groups`: share of bits in which similar sets are taken to differ, chance that
-#: such sets share no segment, and bits of 128 in which candidates differ at most.
-APART, MISSED, NEAR_BITS = 1 / 6, 2e-5, 40
+#: such sets share no segment, and bits of the first words in which candidates differ at most.
+APART, MISSED, NEAR_WORDS, NEAR_BITS = 1 / 6, 2e-5, 3, 58
 #: Codes in one block of a segment value, and those that a value has on average.
 BLOCK_CODES, MEAN_CODES = 4096, 1024
 #: Shingles whose votes a 16-bit counter holds.
 COUNTED = 65535
 #: Candidates per member up to which a block's are listed as pairs; members, and
 #: hashes of their sets, in one block of a value with more.
-FEW, BLOCK_SETS, BLOCK_HASHES = 8, 512, 2_000_000
+FEW, BLOCK_SETS, BLOCK_HASHES = 1, 512, 2_000_000
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
@@ -243,7 +243,7 @@ def code_segments(rows: int) -> tuple[int, int, int]:
     """
     width = min(max(4, int(math.log2(max(rows, 1) / MEAN_CODES))), 32) if rows > MEAN_CODES else 4
     count = math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** width)))
-    return width, count, max(2, math.ceil(count / (64 // width)))
+    return width, count, max(NEAR_WORDS, math.ceil(count / (64 // width)))
 
 
 def _word_votes(h: np.ndarray, starts: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -288,8 +288,8 @@ def _codes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _close(code: np.ndarray, size: np.ndarray, similarity: float, rows: slice, columns: slice) -> np.ndarray:
-    """Which ``rows`` and ``columns`` differ in few of the first 128 bits and have sizes that allow the similarity."""
-    apart = np.bitwise_count(code[rows, 0, None] ^ code[None, columns, 0]) + np.bitwise_count(code[rows, 1, None] ^ code[None, columns, 1])
+    """Which ``rows`` and ``columns`` differ in few bits of the first words and have sizes that allow the similarity."""
+    apart = sum(np.bitwise_count(code[rows, k, None] ^ code[None, columns, k]) for k in range(NEAR_WORDS))
     a, b = size[rows, None], size[None, columns]
     return (apart <= NEAR_BITS) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
 
@@ -401,7 +401,7 @@ def _by_segment(codes: DataFrame, width: int, count: int, code: Column, *carried
 def _similar_links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, width: int, count: int) -> DataFrame:
     """Links (a, b) that join up all keys of ``rows`` (id, key, size, code) whose sets are similar and share a segment."""
     codes = materialize(rows.where(F.size("code") > 0).groupBy("key").agg(F.first("size").alias("size"), F.first("code").alias("code")), "codes")
-    listed = _by_segment(codes, width, count, F.slice("code", 1, 2)).drop("__b")
+    listed = _by_segment(codes, width, count, F.slice("code", 1, NEAR_WORDS)).drop("__b")
     stars = listed.groupBy("seg", "value", "lo", "hi").applyInArrow(lambda t: _close_stars(t.select(["key", "size", "code"]), similarity), "a long, b long")
     stars = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     # a code in no star has no close one
@@ -447,16 +447,20 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of such a radius have thousands of values a segment.  So the code is longer
     and cut into so many short segments that similar sets agree wholly in one
     (`code_segments`); codes that share a segment's value are compared in blocks,
-    over the first 128 bits, and each candidate is verified on the exact sets.
+    over the first 192 bits, and each candidate is verified on the exact sets.
+    (Unlike codes differ in 58 of 192 bits or fewer with a chance of 2e-8; over
+    128 bits, with a radius of 40, it is 1e-5, and most of the sets that are read
+    for verification would be those of unlike codes.)
     First every code is compared with one close to it; then all close codes that
     are still in different components, each pair in the first segment it agrees
-    in: as pairs where they are few, else in blocks whose tasks count common
-    shingles as a matrix product and send a spanning forest only.  No candidate
-    is lost and no large group is emitted as pairs.
+    in: as pairs where these are no more than the block's codes, else as the codes
+    in them, in blocks whose tasks count common shingles as a matrix product and
+    send a spanning forest only.  No candidate is lost, no large group is emitted
+    as pairs, and no block sends more rows than it has codes.
 
-    A pair of similarity 0.8 is missed with probability 3e-5 at most, by segments
+    A pair of similarity 0.8 is missed with probability 2e-5 at most, by segments
     and radius together; sets of four and five shingles, which differ in 3 of 16
-    bits, with 3e-4 (4e-4 at 500,000 documents, 7e-4 at 12,000,000).
+    bits, with 2e-4 (3e-4 at 500,000 documents, 5e-4 at 12,000,000).
     """
     return _similar_groups(df, id_col, text_col, shingle, similarity).select(id_col, "component_id")
 
