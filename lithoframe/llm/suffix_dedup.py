@@ -28,9 +28,12 @@ A pass sends only what other slices must know:
 3. a bit mask of repeated windows per distinct phrase, back to the slice.
 
 A trigger, passage or group of copies that a third of all documents share is
-sent once per slice and not once per document.  Triggers found in more than
-``hot_slices`` slices send their windows one by one, sharded by their own bytes,
-so no shard gathers all contexts of a frequent string.  Hash collisions only
+sent once per slice and not once per document.  A phrase of a trigger found in
+more than ``hot_slices`` slices is cut in two at its middle window: all windows of
+the one part hold the same bytes to the left of the trigger and those of the other
+the same bytes to its right, and these decide the part's shard.  Triggers of more
+than `HOT_PHRASES` phrases send their windows one by one, sharded by their own
+bytes, so no shard gathers all contexts of a frequent string.  Hash collisions only
 let a unique phrase through to the exact comparison.
 
 Edge cases: null text is empty; a text shorter than ``length`` keeps all bytes; a
@@ -52,10 +55,12 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.common import table, text_or_empty
 
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 4_000_000
 #: Text bytes whose triggers go to one shard.
 SHARD_BYTES = 4_000_000
 HOT_SLICES = 1024
+#: Phrases of one trigger, summed over the slices, that one shard takes.
+HOT_PHRASES = 65_536
 _TILE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NO_ID = np.iinfo(np.int64).max
@@ -93,8 +98,9 @@ class Slice:
     """The documents of a slice, in order of id, and their phrases.
 
     Phrase k holds the windows that start at ``first[k]`` to ``first[k] +
-    count[k] - 1`` of ``data``, in document ``doc[k]``; its trigger hashes to
-    ``key[k]``.
+    count[k] - 1`` of ``data``, in document ``doc[k]``; its trigger stands at
+    ``at[k]`` and hashes to ``key[k]``.  Equal phrases have equal ``look[k]``, and
+    almost always only those.
     """
 
     def __init__(self, ids: list, texts: list[str], length: int, gram: int):
@@ -106,8 +112,8 @@ class Slice:
         self.sizes = np.array([len(raw[k]) for k in self.order], np.int64)
         self.data = np.frombuffer(b"".join(raw[k] for k in self.order), np.uint8)
         self.ends = np.cumsum(self.sizes)
-        self.length = length
-        first, count, keys = [], [], []
+        self.length, self.gram = length, gram
+        first, count, keys, places, looks = [], [], [], [], []
         span, mask = length - gram + 1, np.uint64(_TILE - 1)
         step = _TILE - length
         for at in range(0, max(len(self.data) - length + 1, 0), step):
@@ -126,8 +132,15 @@ class Slice:
             first.append(starts[cut] + at)
             count.append(np.diff(np.r_[cut, len(starts)]))
             keys.append(h[own[cut]])
+            places.append(own[cut] + at)
+            a, z = starts[cut], starts[cut] + count[-1] + span - 2
+            look = h[a]
+            for near in (np.maximum(own[cut] - gram, a), np.minimum(own[cut] + gram, z), z):
+                look = (look ^ (look >> np.uint64(31))) * np.uint64(_BASE) + h[near]
+            looks.append(look)
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         self.first, self.count, self.key = join(first, np.int64), join(count, np.int64), join(keys, np.uint64)
+        self.at, self.look = join(places, np.int64), join(looks, np.uint64)
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def triggers(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,28 +152,36 @@ class Slice:
         """Distinct surviving phrases in order of appearance, and where they lie.
 
         Returns the dictionary (bytes -> number), each entry's shard and least
-        id, and, for every surviving phrase or hot window: its entry, start,
+        id, and, for every surviving phrase, part or window: its entry, start,
         windows and id.
         """
-        known: dict[bytes, int] = {}
-        shard, least, entry, start, windows, ids = [], [], [], [], [], []
-        data, extra = self.data.tobytes(), self.length - 1
+        data, half = self.data.tobytes(), (self.length - self.gram) // 2
         alive = np.flatnonzero(state[place] & 1) if len(place) else place
-        hot = state[place[alive]] & 2 if len(alive) else alive
-        route = ((self.key[alive] * np.uint64(_BASE)) >> np.uint64(33)) % np.uint64(shards)
-        for a, n, i, p, many in zip(self.first[alive].tolist(), self.count[alive].tolist(), self.ids[self.doc[alive]].tolist(), route.tolist(), hot.tolist()):
-            for b, m in [(a + j, 1) for j in range(n)] if many else [(a, n)]:
-                phrase = data[b : b + m + extra]
-                e = known.setdefault(phrase, len(known))
-                if e == len(least):
-                    least.append(i)
-                    shard.append(int.from_bytes(hashlib.blake2b(phrase, digest_size=6).digest()) % shards if many else p)
-                entry.append(e)
-                start.append(b)
-                windows.append(m)
-                ids.append(i)
-        arrays = (np.array(x, np.int64) for x in (shard, least, entry, start, windows, ids))
-        return (known, *arrays)
+        hot = state[place[alive]] if len(alive) else alive
+        whole, two, each = alive[hot & 6 == 0], alive[hot & 6 == 2], alive[hot & 4 > 0]
+        mid = np.clip(self.at[two] - half, self.first[two], self.first[two] + self.count[two])
+        one = np.repeat(each, self.count[each])
+        shift = np.arange(len(one)) - np.repeat(np.cumsum(self.count[each]) - self.count[each], self.count[each])
+        single = self.first[one] + shift
+        phrase = np.concatenate([whole, two, two, one])
+        start = np.concatenate([self.first[whole], self.first[two], mid, single])
+        windows = np.concatenate([self.count[whole], mid - self.first[two], self.first[two] + self.count[two] - mid, np.ones(len(one), np.int64)])
+        # the bytes that all windows of a part have: those decide its shard
+        own = np.concatenate([self.first[whole], self.at[two] - half - 1, self.at[two], single])
+        size = np.repeat([0, half + 1 + self.gram, self.length - half, self.length], [len(whole), len(two), len(two), len(one)])
+        order = np.flatnonzero(windows)
+        order = order[np.argsort(start[order], kind="stable")]
+        phrase, start, windows, own, size = (x[order] for x in (phrase, start, windows, own, size))
+        texts = [data[a:b] for a, b in zip(start.tolist(), (start + windows + (self.length - 1)).tolist())]
+        known = {x: k for k, x in enumerate(dict.fromkeys(texts))}
+        entry = np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+        ids = self.ids[self.doc[phrase]] if len(phrase) else phrase
+        lead = np.unique(entry, return_index=True)[1]
+        shard = (((self.key[phrase[lead]] * np.uint64(_BASE)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+        for k in np.flatnonzero(size[lead]).tolist():
+            a = int(own[lead[k]])
+            shard[k] = int.from_bytes(hashlib.blake2b(data[a : a + int(size[lead[k]])], digest_size=6).digest()) % shards
+        return known, shard, ids[lead], entry, start, windows, ids
 
 
 def _column(t: pa.Table, name: str) -> list:
@@ -172,13 +193,14 @@ def _slice_of(t: pa.Table, length: int, gram: int) -> Slice:
 
 
 def _send_triggers(t: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
-    """Pass 1: the distinct triggers of a slice, with a flag for those of two documents."""
+    """Pass 1: the distinct triggers of a slice, with a flag for those of two documents and, from bit 1 on, the power of two that their distinct phrases reach."""
     s = _slice_of(t, length, gram)
     keys, place = s.triggers(shards)
     low, high = np.full(len(keys), _NO_ID), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, place, s.doc)
     np.maximum.at(high, place, s.doc)
-    shard, flags = (keys >> np.uint64(32)).astype(np.int64), (low < high).astype(np.uint8)
+    phrases = np.bincount(place[np.unique(s.look, return_index=True)[1]], minlength=len(keys))
+    shard, flags = (keys >> np.uint64(32)).astype(np.int64), ((low < high) + 2 * np.ceil(np.log2(np.maximum(phrases, 1)))).astype(np.uint8)
     some, first = np.unique(shard, return_index=True)
     blobs = lambda x: pa.array([part.tobytes() for part in np.split(x, first[1:])][: len(some)], pa.binary())
     number = np.full(len(some), _column(t, "__slice")[0])
@@ -186,13 +208,14 @@ def _send_triggers(t: pa.Table, length: int, gram: int, shards: int) -> pa.Table
 
 
 def _judge_triggers(t: pa.Table, hot_slices: int) -> pa.Table:
-    """A shard's triggers: bit 0 if two documents have it, bit 1 if very many slices do."""
+    """A shard's triggers: bit 0 if two documents have it, bit 1 if very many slices do, bit 2 if it has very many phrases."""
     keys = [np.frombuffer(x, "<u4") for x in _column(t, "keys")]
     flags = np.concatenate([np.frombuffer(x, np.uint8) for x in _column(t, "flags")])
     distinct, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     several = np.zeros(len(distinct), bool)
-    several[place[flags > 0]] = True
-    state = ((several | (times > 1)) + 2 * (times > hot_slices)).astype(np.uint8)[place]
+    several[place[flags & 1 > 0]] = True
+    phrases = np.bincount(place, weights=np.exp2((flags >> 1).astype(np.float64)))
+    state = ((several | (times > 1)) + 2 * (times > hot_slices) + 4 * (phrases > HOT_PHRASES)).astype(np.uint8)[place]
     parts = np.split(state, np.cumsum([len(x) for x in keys])[:-1])
     return pa.table({"slice": t.column("slice"), "shard": t.column("shard"), "kind": pa.array([0] * len(parts), pa.int32()), "blob": pa.array([x.tobytes() for x in parts], pa.binary())})
 
@@ -240,8 +263,9 @@ def _mark_windows(t: pa.Table, length: int) -> pa.Table:
     size = np.concatenate(sizes)
     text = b"".join(_column(t, "data"))
     ends = np.cumsum(size).tolist()
-    dictionary: dict[bytes, int] = {}
-    place = np.array([dictionary.setdefault(text[a:b], len(dictionary)) for a, b in zip([0, *ends], ends)], np.int64)
+    texts = [text[a:b] for a, b in zip([0, *ends], ends)]
+    dictionary = {x: k for k, x in enumerate(dict.fromkeys(texts))}
+    place = np.fromiter(map(dictionary.__getitem__, texts), np.int64, len(texts))
     lowest = np.full(len(dictionary), _NO_ID)
     np.minimum.at(lowest, place, least)
     phrases = np.array([len(x) for x in dictionary], np.int64)

@@ -122,6 +122,38 @@ def test_triggers_of_many_slices_are_hot():
     assert state(3) == [[1, 1], [1], [1, 0]]
 
 
+def test_hot_triggers_send_few_bytes_and_stay_exact(spark, monkeypatch):
+    """Phrases of triggers of many slices go in two parts; only very many phrases of one trigger go window by window."""
+    rows = documents(90)
+    s = S.Slice(list(range(len(rows))), [t or "" for _, t in rows], 50, 16)
+    keys, place = s.triggers(1)
+    sent = {k: s.entries(np.full(len(keys), k, np.uint8), place, 1) for k in (1, 3, 5)}
+    size = {k: sum(map(len, e[0])) for k, e in sent.items()}
+    assert size[3] < 2 * size[1] < size[5] / 2
+    window = lambda e: sorted(a + j for a, n in zip(e[4].tolist(), e[5].tolist()) for j in range(n))
+    assert window(sent[1]) == window(sent[3]) == window(sent[5])
+    for state in (3, 5):
+        known, shard, _, entry, start, windows, _ = s.entries(np.full(len(keys), state, np.uint8), place, 1000)
+        of = {}
+        for e, a, n in zip(entry.tolist(), start.tolist(), windows.tolist()):
+            for j in range(n):
+                w = s.data[a + j : a + j + 50].tobytes()
+                assert of.setdefault(w, shard[e]) == shard[e]
+    monkeypatch.setattr(S, "SLICE_BYTES", 4_000)
+    monkeypatch.setattr(S, "SHARD_BYTES", 4_000)
+    for hot, phrases in ((2, 8), (1024, 4)):
+        monkeypatch.setattr(S, "HOT_PHRASES", phrases)
+        assert {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(frame(spark, rows), hot_slices=hot).collect()} == removed(rows)
+
+
+def test_triggers_of_many_phrases_go_by_windows():
+    blob = lambda kind, *x: np.array(x, kind).tobytes()
+    t = pa.table({"slice": pa.array([0, 1], pa.int32()), "shard": pa.array([0] * 2, pa.int32()), "keys": [blob("<u4", 5, 6), blob("<u4", 5)], "flags": [blob("u1", 2 * 15, 1), blob("u1", 2 * 15 + 1)]})
+    assert [list(x) for x in S._judge_triggers(t, 8).column("blob").to_pylist()] == [[1, 1], [1]]
+    t = t.set_column(3, "flags", [[blob("u1", 2 * 16, 1), blob("u1", 2 * 15 + 1)]])
+    assert [list(x) for x in S._judge_triggers(t, 8).column("blob").to_pylist()] == [[5, 1], [5]]
+
+
 def test_rows_without_an_id_spread(spark, monkeypatch):
     """Their texts go to many slices, lose bytes to every id and take none from each other."""
     monkeypatch.setattr(S, "SLICE_BYTES", 1000)
