@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.text import collapse, first_reason, translit_key
 from lithoframe.operators.dictionary import find_entries, key_words
+from lithoframe.plans.scratch import materialize
 
 # The cues of a question's quantifier, polarity and mode; types of
 # deposits and stages.
@@ -210,20 +211,48 @@ def resolve_place(names: DataFrame, spellings: Sequence[str], *, least: float =
     return close.groupBy("name").agg(F.round(F.max(F.col("ratio") + F.col("near")), 6).alias("score")).orderBy(F.desc("score"), "name").limit(most)
 
 
+def _direct_scores(concepts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(question, chunk_id, score): the number of a question's concepts of which a node ends a fact of the chunk.
+
+    Concepts of equal nodes count together, and each counts where the most frequent
+    of its nodes stands: that is one weight for each question and node, however
+    many concepts share the node.  Only where a concept's other nodes stand without
+    that one are its rows made.
+    """
+    ends = facts.select("chunk_id", F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
+    times = ends.groupBy("node").agg(F.count("*").alias("times"))
+    found = concepts.select("question", "concept", "node").distinct().join(times, "node")
+    sets = found.groupBy("question", "concept").agg(F.max_by("node", F.struct("times", "node")).alias("base"), F.array_sort(F.collect_set("node")).alias("nodes"))
+    alike = materialize(sets.groupBy("question", "base", "nodes").agg(F.min("concept").alias("concept"), F.count("*").cast("double").alias("w")), "concepts")
+    whole = materialize(alike.groupBy(F.col("base").alias("node"), "question").agg(F.sum("w").alias("w")), "weights")
+    rest = alike.select("question", "concept", "base", "w", F.explode(F.array_remove("nodes", F.col("base"))).alias("node"))
+    blank = [F.lit(None).cast(alike.schema[c].dataType).alias(c) for c in ("question", "concept", "w")]
+    at_base = ends.join(whole.select("node").distinct(), "node", "left_semi").select("chunk_id", "node", *blank, F.lit(True).alias("of_base"))
+    other = ends.join(rest, "node").select("chunk_id", F.col("base").alias("node"), "question", "concept", "w", F.lit(False).alias("of_base"))
+    # all that follows is within a chunk, so one exchange serves it
+    rows = at_base.unionByName(other).repartition("chunk_id").distinct()
+    kept = rows.withColumn("held", F.max("of_base").over(Window.partitionBy("chunk_id", "node"))).where("of_base OR NOT held")
+    weights = whole.select(F.col("node").alias("__node"), F.col("question").alias("__question"), F.col("w").alias("__w"))
+    scored = kept.join(weights, F.when(F.col("of_base"), F.col("node")) == F.col("__node"), "left")
+    pick = lambda c: F.when(F.col("of_base"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    return scored.select(pick("question"), "chunk_id", pick("w")).groupBy("question", "chunk_id").agg(F.sum("w").alias("score"))
+
+
 def node_scores(concepts: DataFrame, facts: DataFrame, hop: bool = False) -> DataFrame:
     """(question, chunk_id, score): for each concept 1 if a fact of the chunk ends in its nodes, and with ``hop`` 0.5 if one ends only in a neighbour.
 
     ``concepts`` has question, concept and node, ``facts`` id, chunk_id, src and dst.
     """
-    ends = facts.select("id", "chunk_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    direct = concepts.join(ends, "node").select("question", "concept", "id", "chunk_id").distinct()
-    parts = direct.select("question", "concept", "chunk_id").distinct().withColumn("w", F.lit(1.0))
+    parts = _direct_scores(concepts, facts)
     if hop:
+        ends = facts.select("id", "chunk_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        direct = concepts.join(ends, "node").select("question", "concept", "id").distinct()
         links = facts.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(facts.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
         around = concepts.join(links, "node").select("question", "concept", F.col("other").alias("node")).distinct()
         near = around.join(ends, "node").select("question", "concept", "id", "chunk_id").distinct().join(direct, ["question", "concept", "id"], "left_anti")
-        parts = parts.unionByName(near.select("question", "concept", "chunk_id").distinct().withColumn("w", F.lit(0.5)))
-    return parts.groupBy("question", "chunk_id").agg(F.sum("w").alias("score"))
+        half = near.select("question", "concept", "chunk_id").distinct().select("question", "chunk_id", F.lit(0.5).alias("score"))
+        parts = parts.unionByName(half).groupBy("question", "chunk_id").agg(F.sum("score").alias("score"))
+    return parts
 
 
 def gather_rounds(search: Callable[[Sequence[str]], DataFrame], judge: Callable[[DataFrame], Sequence[str]], queries: Sequence[str], most: int = 3) -> tuple[DataFrame, int]:

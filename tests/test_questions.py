@@ -1,5 +1,6 @@
 """Questions, model answers and layout on hand-made cases and against plain versions."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,6 +11,7 @@ from lithoframe.operators import answers as A
 from lithoframe.operators import evidence as E
 from lithoframe.operators import questions as Q
 from lithoframe.operators import words as W
+from tests.made import most_rows
 
 
 def test_cover_density_equals_all_runs(spark):
@@ -175,3 +177,26 @@ def test_looping_and_uncited_answers():
     assert X.is_looping(f"{long} Another one. {long} And now") and not X.is_looping(f"{long} Another one. And now")
     text = "# A\nThis sentence holds a claim that is without any source. It has one here [1].\n# B\nA claim without any source that is longer than forty."
     assert X.drop_uncited(text) == ("# A\nIt has one here [1].", ["This sentence holds a claim that is without any source.", "A claim without any source that is longer than forty."])
+
+
+def test_node_scores_count_every_concept_once(spark):
+    r = random.Random(5)
+    node = lambda: r.choice(["hub", "hub", "a", "b", "c", f"n{r.randrange(40)}"])
+    concepts = [(r.randrange(3) if r.random() < 0.95 else None, c, node()) for c in range(120) for _ in range(r.randrange(1, 4))] + [(0, 7, None), (1, None, "a"), (1, None, "b")]
+    facts = [(k, r.randrange(60) if r.random() < 0.95 else None, node(), node() if r.random() < 0.95 else None) for k in range(150)]
+    want = {}
+    for _, chunk, src, dst in facts:
+        for q, c, n in concepts:
+            if n is not None and n in (src, dst):
+                want.setdefault((q, chunk), set()).add(c)
+    df = [spark.createDataFrame(concepts, "question int, concept int, node string"), spark.createDataFrame(facts, "id int, chunk_id int, src string, dst string")]
+    got = {(x.question, x.chunk_id): x.score for x in Q.node_scores(*df).collect()}
+    assert got == {k: float(len(v)) for k, v in want.items()}
+
+
+def test_node_scores_make_no_row_for_each_concept_of_a_shared_node(spark):
+    concepts = spark.range(3000).select((F.col("id") % 2).alias("question"), F.col("id").alias("concept"), F.explode(F.array(F.lit("hub"), F.concat(F.lit("own"), "id"))).alias("node"))
+    facts = spark.range(3000).select("id", F.col("id").alias("chunk_id"), F.lit("hub").alias("src"), F.concat(F.lit("own"), "id").alias("dst"))
+    df = Q.node_scores(concepts, facts)
+    assert most_rows(df) <= 20_000
+    assert {tuple(x) for x in df.select("question", "score").distinct().collect()} == {(0, 1500.0), (1, 1500.0)}
