@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithoframe.operators import cosine_join as C
+from lithoframe.operators import sparse_join as SJ
 from lithoframe.operators import linking as L
 from lithoframe.operators import vector_index as V
 from lithoframe.operators.search import vector_search
@@ -171,3 +172,38 @@ def test_a_long_chain_of_names(spark):
     names = spark.createDataFrame([(k, f"n{'x' * k}", t) for k, t in enumerate(times)], "id long, name string, times long")
     pairs = spark.createDataFrame([(k, k + 1, 0.9) for k in range(n - 1)], "a long, b long, similarity double")
     assert {x.canon for x in C.merge_names(names, pairs, F.lit(True)).collect()} == {0}
+
+
+@pytest.mark.parametrize("level", [1, 2, 3, 4])
+def test_sparse_join_finds_every_pair_in_small_buckets(spark, monkeypatch, level):
+    """Like names, long and very short ones, crowded buckets and values that are no whole numbers."""
+    monkeypatch.setattr(SJ, "plan_level", lambda rows, width: level)
+    monkeypatch.setattr(SJ, "SMALL", 3)
+    r = np.random.default_rng(level)
+    for whole, crowd in ((True, 4), (False, 2048)):
+        monkeypatch.setattr(SJ, "CROWD", crowd)
+        x = np.zeros((260, 40))
+        for k in range(260):
+            if k % 3 or k < 3:
+                x[k, r.choice(40, r.integers(1, 16), replace=False)] = r.integers(1, 4, 1)
+                x[k, r.integers(40)] += r.integers(0, 3)
+            else:
+                x[k] = x[k - 2]
+                x[k, r.integers(40)] += 1
+        x = x if whole else x * r.choice([-1.0, 1.5], (1, 40)) + 0.0
+        x[259] = 0
+        n = np.sqrt((x * x).sum(1))
+        with np.errstate(invalid="ignore"):
+            s = np.nan_to_num(np.round(x @ x.T / n[:, None] / n, 6))
+        want = {(a, b): s[a, b] for a, b in zip(*np.nonzero(np.triu(s >= 0.8, 1)))}
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(3)
+        got = [tuple(p) for p in SJ.sparse_join(rows, 0.8).collect()]
+        assert len(got) == len(want) > 50 and {p[:2]: p[2] for p in got} == pytest.approx(want)
+    assert SJ.sparse_join(rows.limit(0), 0.8).count() == 0
+
+
+def test_sparse_join_makes_few_buckets_of_a_name():
+    """Of 17 dimensions of one weight, as a name has, three of the nine rarest make a bucket; like names share eleven at least."""
+    lengths, own, need = SJ.prefixes(np.full((1, 17), 1 / 17), np.array([17]), 0.8, 3)
+    assert lengths.tolist() == [[7, 8, 9]] and own.tolist() == [3] and need.tolist() == [11]
+    assert [SJ.plan_level(n, 256) for n in (100, 250_000, 10**6, 10**7)] == [1, 2, 3, 4]
