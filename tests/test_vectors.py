@@ -207,3 +207,12 @@ def test_sparse_join_makes_few_buckets_of_a_name():
     lengths, own, need = SJ.prefixes(np.full((1, 17), 1 / 17), np.array([17]), 0.8, 3)
     assert lengths.tolist() == [[7, 8, 9]] and own.tolist() == [3] and need.tolist() == [11]
     assert [SJ.plan_level(n, 256) for n in (100, 250_000, 10**6, 10**7)] == [1, 2, 3, 4]
+
+
+def test_names_meet_without_bands_of_signs(spark, monkeypatch):
+    """Trigram counts are all positive, so their signs fill few buckets; both queries of names take the exact join."""
+    from lithoframe.plans import vectors
+
+    monkeypatch.setattr(C, "candidates", lambda *a: pytest.fail("bands of signs"))
+    for q in (vectors.similar_spellings, vectors.name_synonyms):
+        assert q(spark, "/root/testdata/sf0.001").count() >= 0
