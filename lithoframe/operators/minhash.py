@@ -9,6 +9,7 @@ row however large it is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS, ROWS = 64, 16, 4
 #: Signatures of one band that one part takes.
 CROWD = 1024
+#: Documents of a shared chunk that are met in pairs.
+SHARERS = 64
 
 
 def permutation(k: int) -> tuple[int, int]:
@@ -148,19 +151,61 @@ def prefilter(jaccard_value: Column, differences: Column, terms: Column, least:
     return F.when(near & (F.size(differences) > 0), "REVIEW_NOT_DROP").when(near, "DROP_DUPLICATE").when(terms < least_terms, "DROP_SPARSE").otherwise("KEEP")
 
 
-def source_families(copies: DataFrame, sizes: DataFrame, others: Sequence[DataFrame] = (), share: float = 0.3) -> DataFrame:
+def _sharing(items: DataFrame, needs: DataFrame, crowd: int) -> DataFrame:
+    """Links (a, b) of nodes (node, need) that share as many items (node, h) as the lesser need asks for.
+
+    Pairs are made of the nodes that share an item of at most ``crowd`` nodes.  Two
+    others share common items only; nodes of the same common items and need are alike
+    to these, so one of each kind goes on, with a larger crowd.  All of a kind are
+    linked if its items suffice by themselves, or if the one that goes on finds a link:
+    then each of them has it.
+    """
+    counted = materialize(items.join(items.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h"), "counted")
+    common = materialize(counted.where(F.col("f") > crowd).groupBy("node").agg(F.array_sort(F.collect_list("h")).alias("hot")).join(needs, "node"), "common")
+    side = lambda n: counted.where(F.col("f") <= crowd).select("h", F.col("node").alias(n))
+    pairs = side("a").join(side("b"), "h").where("a > b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    of = lambda n: needs.select(F.col("node").alias(n), F.col("need").alias(f"need_{n}"))
+    met = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.least("need_a", "need_b") - F.col("n")).alias("missing")), "met")
+    sets = lambda n: common.select(F.col("node").alias(n), F.col("hot").alias(f"hot_{n}"))
+    more = met.where("missing > 0").join(sets("a"), "a").join(sets("b"), "b").where(F.size(F.array_intersect("hot_a", "hot_b")) >= F.col("missing"))
+    links = met.where("missing <= 0").select("a", "b").unionByName(more.select("a", "b"))
+    if not common.limit(1).count():
+        return links
+    kinds = materialize(common.groupBy("hot", "need").agg(F.min("node").alias("first")), "kinds")
+    further = materialize(_sharing(kinds.select(F.col("first").alias("node"), F.explode("hot").alias("h")), kinds.select(F.col("first").alias("node"), "need"), 4 * crowd), "links")
+    linked = further.select(F.col("a").alias("first")).unionByName(further.select(F.col("b").alias("first"))).distinct().withColumn("linked", F.lit(True))
+    alike = common.join(kinds.join(linked, "first", "left"), ["hot", "need"]).where((F.size("hot") >= F.col("need")) | F.col("linked"))
+    return links.unionByName(further).unionByName(alike.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+
+
+def sharing_links(items: DataFrame, sizes: DataFrame, share: float = 0.3) -> DataFrame:
+    """(a, b): links with the components of all pairs of documents that share at least ``share`` of the smaller one's chunks.
+
+    ``items`` (doc_id, h) are the chunks that count, each once for a document, ``sizes``
+    (doc_id, chunks) the numbers of all.  A chunk that very many documents have
+    makes no pairs of them.
+    """
+    least = F.greatest(F.ceil(share * F.col("chunks")), F.lit(1))
+    fits = lambda n: n / F.col("chunks") >= share
+    need = F.when((least > 1) & fits(least - 1), least - 1).when(fits(least), least).otherwise(least + 1)
+    return _sharing(items.select(F.col("doc_id").alias("node"), "h"), sizes.select(F.col("doc_id").alias("node"), need.cast("long").alias("need")), SHARERS)
+
+
+def source_families(copies: DataFrame | None, sizes: DataFrame, others: Sequence[DataFrame] = (), share: float = 0.3) -> DataFrame:
     """``doc_id`` and ``family``: documents joined by shared copies or other links.
 
     ``copies`` (a, b, n): n chunks of document a are copies of chunks of b;
     ``sizes`` (doc_id, chunks).  Linked when n is at least ``share`` of the
-    smaller document.  ``others`` are frames of further links (a, b).
+    smaller document.  ``others`` are frames of further links (a, b), such as
+    `sharing_links`, which needs no ``copies``.
     """
     x, y = sizes.select(F.col("doc_id").alias("a"), F.col("chunks").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("chunks").alias("nb"))
-    linked = copies.join(x, "a").join(y, "b").where(F.col("n") / F.least("na", "nb") >= share).select("a", "b")
-    for o in others:
-        linked = linked.unionByName(o.select("a", "b"))
+    linked = [o.select("a", "b") for o in others]
+    if copies is not None:
+        linked.append(copies.join(x, "a").join(y, "b").where(F.col("n") / F.least("na", "nb") >= share).select("a", "b"))
+    linked = reduce(DataFrame.unionByName, linked)
     found = connected_components(linked)
     return sizes.select("doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family"))
 
 
-__all__ = ["bands", "estimate", "first_kept", "jaccard", "near_duplicates", "permutation", "prefilter", "protected_differences", "signatures", "similar_pairs", "source_families"]
+__all__ = ["bands", "estimate", "first_kept", "jaccard", "near_duplicates", "permutation", "prefilter", "protected_differences", "sharing_links", "signatures", "similar_pairs", "source_families"]

@@ -93,6 +93,5 @@ def source_families(spark, sf_dir):
     c = chunks(spark, sf_dir)
     long = c.where("n_chars >= 40").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).distinct()
     sizes = c.groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    x, y = long.alias("x"), long.alias("y")
-    shared = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") > F.col("y.doc_id"))).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("n"))
-    return M.source_families(shared, sizes)
+    sizes = M.materialize(sizes, "sizes")
+    return M.source_families(None, sizes, [M.sharing_links(long, sizes)])
