@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lithoframe.functions.text import collapse, first_reason
 from lithoframe.operators.dictionary import find_entries, key_words
 from lithoframe.operators.graph import closure
+from lithoframe.plans.scratch import materialize
 
 #: Cues of claim features in English, as regular expressions without case.
 NEGATION = r"\bnot\b|\bno\b|\bnone of\b|\bwithout\b|\black(?:s|ing)? of\b|\babsence of\b"
@@ -220,10 +221,20 @@ def kept_sources(sources: DataFrame) -> DataFrame:
 
 
 def cite_by_numbers(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Claims (id, numbers) with the only source (source, numbers) that holds all their numbers, if it is one."""
-    asked = claims.where(F.size("numbers") > 0).select("id", F.size("numbers").alias("__n"), F.explode("numbers").alias("x"))
-    held = sources.select("source", F.explode("numbers").alias("x")).distinct()
-    full = asked.join(held, "x").groupBy("id", "__n", "source").agg(F.count("*").alias("c")).where("c = __n")
-    return full.groupBy("id").agg(F.min("source").alias("source"), F.count("*").alias("k")).where("k = 1").select("id", "source")
-
+    """Claims (id, numbers) with the only source (source, numbers) that holds all their numbers, if it is one.
 
+    Claims of equal numbers are looked up once, by the number that fewest sources hold;
+    a claim of one number is decided by how many hold it.
+    """
+    held = materialize(sources.select("source", F.explode("numbers").alias("x")).distinct(), "held")
+    sets = materialize(claims.where(F.size("numbers") > 0).select("id", F.array_sort(F.array_distinct("numbers")).alias("wanted")), "wanted")
+    kinds = materialize(sets.select("wanted").distinct().withColumn("k", F.monotonically_increasing_id()), "kinds")
+    each = kinds.select("k", F.size("wanted").alias("n"), F.explode("wanted").alias("x"))
+    holders = held.groupBy("x").agg(F.count("*").alias("f"), F.min("source").alias("least"))
+    rarest = each.join(holders, "x").groupBy("k", "n").agg(F.count("*").alias("known"), F.min_by(F.struct("x", "f", "least"), F.struct("f", "x")).alias("r"))
+    rarest = materialize(rarest.where("known = n").select("k", "n", "r.*"), "rarest")
+    near = rarest.where("n > 1").select("k", "n", "x").join(held, "x").select("k", "n", "source")
+    full = near.join(each.select("k", "x"), "k").join(held, ["source", "x"]).groupBy("k", "n", "source").agg(F.count("*").alias("c")).where("c = n")
+    one = full.groupBy("k").agg(F.min("source").alias("source"), F.count("*").alias("f")).where("f = 1").select("k", "source")
+    one = one.unionByName(rarest.where("n = 1 AND f = 1").select("k", F.col("least").alias("source")))
+    return sets.join(kinds.join(one, "k").select("wanted", "source"), "wanted").select("id", "source")
